@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import licenses, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op5_license_scan": licenses.op5_license_scan,
+        "op8_quality_rules": quality.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_license_scan": licenses.OP5_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
+    }
