@@ -55,3 +55,13 @@ def digest(text: Column) -> Column:
         F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1), text.isNull()).alias("a"),
         F.xxhash64(F.lit(2), F.coalesce(text, F.lit("")), F.lit(3)).alias("b"),
     )
+
+
+def text_id(df: DataFrame, name: str = "doc_id") -> Column:
+    """The id as text: pandas has no null among whole numbers, and as floats large ids would lose digits."""
+    return df[name].cast("string").alias(name)
+
+
+def typed_id(df: DataFrame, like: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``df`` with the id, so far text, of the type that it has in ``like``."""
+    return df.withColumn(name, F.col(name).cast(like.schema[name].dataType))

@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, sharding
+from . import licenses, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op4_packing": tokens.op4_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op10_bpe": tokens.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_packing": tokens.op4_packing,
         "op5_license_scan": licenses.OP5_SQL,
         "op8_quality_rules": quality.OP8_SQL,
     }
