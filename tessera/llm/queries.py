@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, sharding, tokens
+from . import language, licenses, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op4_packing": tokens.op4_packing,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_language_id": language.op6_language_id,
         "op8_quality_rules": quality.op8_quality_rules,
         "op10_bpe": tokens.op10_bpe,
     }
