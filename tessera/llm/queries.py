@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, quality, sharding, tokens
+from . import html, language, licenses, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": language.op6_language_id,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_main_text": html.op9_main_text,
         "op10_bpe": tokens.op10_bpe,
     }
 
