@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, licenses, quality, sharding, tokens
+from . import html, language, licenses, lines, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op4_packing": tokens.op4_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": language.op6_language_id,
@@ -23,7 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": lines.op2_line_dedup,
         "op4_packing": tokens.op4_packing,
+        "op2_line_dedup": lines.OP2_SQL,
         "op5_license_scan": licenses.OP5_SQL,
         "op8_quality_rules": quality.OP8_SQL,
     }
