@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, licenses, lines, quality, sharding, tokens
+from . import html, language, licenses, lines, minhash, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_line_dedup": lines.op2_line_dedup,
+        "op3_near_duplicates": minhash.op3_near_duplicates,
         "op4_packing": tokens.op4_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": language.op6_language_id,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": lines.op2_line_dedup,
+        "op3_near_duplicates": minhash.op3_near_duplicates,
         "op4_packing": tokens.op4_packing,
         "op2_line_dedup": lines.OP2_SQL,
         "op5_license_scan": licenses.OP5_SQL,
