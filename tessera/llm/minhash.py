@@ -235,7 +235,7 @@ def links(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, node (the md5 of the text).
+    """One row per row of ``docs``: doc_id, class_id, class_size, node (the md5 of the text), comp (that of its class).
 
     A class holds equal texts and all that chains of links join; its id is the least doc_id in it. Texts
     without a word are alike only if equal; a null text is in a class of its own row; rows that repeat are in one class;
@@ -247,13 +247,13 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     named = common.keep(named)
     ids = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(ids, "comp", "left").select(
-        "doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "node"
+        "doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "node", "comp"
     )
 
 
 def representatives(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with one document of each class: the one with the least doc_id. All columns stay; null texts stay."""
-    kept = classes(docs, params).where("node is not null and doc_id <=> class_id").groupBy("class_id").agg(F.min("node").alias("node"))
+    kept = classes(docs, params).where("node is not null and doc_id <=> class_id").groupBy("comp", "class_id").agg(F.min("node").alias("node"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), F.md5(F.col("text").cast("binary")).alias("d_node"))
     both = rows.join(kept, F.col("d_id").eqNullSafe(F.col("class_id")) & (F.col("d_node") == F.col("node")))
     one = both.groupBy("d_id", "d_node").agg(F.first("doc").alias("doc"))
@@ -261,4 +261,4 @@ def representatives(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.read(spark, sf_dir, "documents")).drop("node")
+    return classes(common.read(spark, sf_dir, "documents")).drop("node", "comp")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, licenses, lines, minhash, quality, sharding, tokens
+from . import audio, html, language, licenses, lines, minhash, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": tokens.op4_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_language_id": language.op6_language_id,
+        "op7_chroma_fingerprints": audio.op7_chroma_fingerprints,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_main_text": html.op9_main_text,
         "op10_bpe": tokens.op10_bpe,
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_packing": tokens.op4_packing,
         "op2_line_dedup": lines.OP2_SQL,
         "op5_license_scan": licenses.OP5_SQL,
+        "op7_chroma_fingerprints": audio.op7_chroma_fingerprints,
         "op8_quality_rules": quality.OP8_SQL,
     }
