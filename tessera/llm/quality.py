@@ -92,7 +92,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     copies alone make no line common; rows that repeat get a verdict each; an empty table gives none.
     """
     removed = common_lines(docs, rules).groupBy("doc_id", "host", "digest").agg(F.collect_set("line").alias("removed"), F.sum("words").alias("words_removed"))
-    found = facts(docs).alias("f")
+    # written, as a filter on the verdict would else be put under the scan with all that makes the facts, many times over
+    found = common.keep(facts(docs)).alias("f")
     removed = removed.select(F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("digest").alias("r_digest"), "removed", "words_removed")
     joined = found.join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("host") == F.col("r_host")) & (F.col("digest") == F.col("r_digest")), "left")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
