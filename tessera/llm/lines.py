@@ -64,11 +64,12 @@ def _joined(docs: DataFrame) -> DataFrame:
     both = rows.join(gone, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_digest") == F.col("digest")), "left").select("doc", "gone", F.coalesce("doc.text", F.lit("")).alias("text"))
     cut = with_chunks(both.where("gone is not null"))
     left = F.filter("chunks", lambda c: ~F.array_contains("gone", c["start"]))
-    cut = cut.select(
-        "doc", F.array_join(F.flatten(F.transform(left, lambda c: F.slice("lines", c["start"] + 1, c["n"]))), "\n").alias("text"),
+    # through a generator, as a filter on the result would else be put below with all that makes it, many times over
+    cut = cut.select("doc", F.inline_outer(F.array(F.struct(
+        F.array_join(F.flatten(F.transform(left, lambda c: F.slice("lines", c["start"] + 1, c["n"]))), "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed_chunks"),
         (F.size("lines") - F.aggregate(left, F.lit(0), lambda a, c: a + c["n"])).cast("long").alias("n_removed_lines"),
-    )
+    ))))
     whole = both.where("gone is null").select("doc", F.col("doc.text").alias("text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed_chunks"), F.lit(0).cast("long").alias("n_removed_lines"))
     return cut.unionByName(whole)
 
