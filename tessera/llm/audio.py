@@ -142,7 +142,9 @@ def align(prints: DataFrame, asked: Column) -> DataFrame:
     best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("q", "r").agg(F.max(F.struct("votes", -F.abs("offset"), "offset"))["offset"].alias("offset"))
     both = best.join(kinds.select(F.col("print").alias("q"), F.col("class_id").alias("q_class"), F.col("fp").alias("a")), "q").join(kinds.select(F.col("print").alias("r"), F.col("class_id").alias("r_class"), F.col("fp").alias("b")), "r")
     start, end = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
-    wrong = F.aggregate(F.sequence(start, end - 1), F.lit(0), lambda n, i: n + F.bit_count(F.get("a", i).bitwiseXOR(F.get("b", i + F.col("offset")))))
+    # as longs without their upper half: bit_count would count the copies of a negative number's sign
+    differing = lambda i: F.get("a", i).bitwiseXOR(F.get("b", i + F.col("offset"))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    wrong = F.aggregate(F.sequence(start, end - 1), F.lit(0), lambda n, i: n + F.bit_count(differing(i)))
     error = F.when(end - start >= MIN_OVERLAP, wrong / (32 * (end - start)))
     matches = both.select("q", F.col("r_class"), "offset", error.alias("error")).where(F.col("error") <= MAX_BIT_ERRORS)
     told = matches.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.round("error", 6).alias("error"), F.col("r_class").alias("r_class"), "offset")).alias("best"))
