@@ -1 +1,128 @@
-"""Queries that run in grouped functions or as streams."""
+"""Queries that run in grouped functions or as streams: fits of small plates, and an incremental score store."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import folds, lattice, learners, recovery, selection, transform
+from ..sources.landscapes import landscape
+from .catalog import BUDGET, LAND, MAIN, query
+
+METHODS = ("info", "structural", "prior")
+
+
+def _plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(method, row, col, col_ord, y, fold): the long design of the plate of each selection method, with inner folds."""
+    cells = landscape(spark, sf_dir, MAIN)
+    pool = selection.scored(cells)
+    design = transform.features(cells)
+    out = None
+    for method in METHODS:
+        chosen = folds.deal(selection.top(pool, method, 2 * BUDGET), 3, "inner-1").select("cell_code", "fold")
+        told = recovery.reveal(chosen, cells).join(chosen, "cell_code").select(F.lit(method).alias("method"), F.col("cell_code").alias("row"), F.col("dg").alias("y"), "fold")
+        plate = told.join(design, "row")
+        out = plate if out is None else out.unionByName(plate)
+    return out
+
+
+@query("ridge_cv")
+def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learners.ridge_cv(_plates(spark, sf_dir), ["method"], [0.1, 1.0, 10.0], [1.0, 10.0, 100.0])
+
+
+@query("ridge_weights")
+def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of each plate at the penalties that cross-validation picks."""
+    plates = _plates(spark, sf_dir)
+    best = learners.ridge_cv(plates, ["method"], [0.1, 1.0, 10.0], [1.0, 10.0, 100.0])
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, y, _, cols, order = learners.dense(group)
+        b, w = learners.ridge(x, y, np.where(order == 1, group["alpha_main"].iloc[0], group["alpha_pair"].iloc[0]))
+        return pd.DataFrame({"col": np.append(cols, -1), "weight": np.round(np.append(w, b), 9)})
+
+    return learners.per_group(plates.join(best.drop("mse"), "method"), ["method"], fit, "col long, weight double")
+
+
+def _path(solver: str, ratios: list[float]):
+    solve = {"lasso": learners.lasso, "fista": learners.fista}[solver]
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, y, *_ = learners.dense(group)
+        x, y = x - x.mean(axis=0), y - y.mean()
+        top = learners.largest_penalty(x, y)
+        out = []
+        for r in ratios:
+            w = solve(x, y, r * top)
+            out.append((r, int((np.abs(w) > 1e-9).sum()), round(float(((y - x @ w) ** 2).mean()), 7)))
+        return pd.DataFrame(out, columns=["ratio", "support", "mse"])
+
+    return fit
+
+
+@query("lasso_path")
+def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learners.per_group(_plates(spark, sf_dir), ["method"], _path("lasso", [0.5, 0.2, 0.1, 0.05]), "ratio double, support int, mse double")
+
+
+@query("fista_path")
+def fista_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learners.per_group(_plates(spark, sf_dir), ["method"], _path("fista", [0.5, 0.2, 0.1, 0.05]), "ratio double, support int, mse double")
+
+
+@query("gcv_blup")
+def gcv_blup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random effects of the prior's error on each plate: the chosen ratio and the effects."""
+    cells = landscape(spark, sf_dir, MAIN).select(F.col("cell_code").alias("row"), "prior")
+    plates = _plates(spark, sf_dir).join(cells, "row").withColumn("y", F.col("y") - F.col("prior"))
+    ratios = np.append(np.logspace(-3, 4, 11), np.inf)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, y, _, cols, _ = learners.dense(group)
+        ratio, w = learners.blup(x, y, ratios)
+        return pd.DataFrame({"ratio": None if np.isinf(ratio) else round(ratio, 9), "col": cols, "effect": np.round(w, 9)})
+
+    return learners.per_group(plates, ["method"], fit, "ratio double, col long, effect double")
+
+
+@query("d_optimal")
+def d_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plate for each order of candidates, chosen one by one for the most uncertain cell."""
+    cells = landscape(spark, sf_dir, MAIN)
+    pool = selection.scored(cells).select(F.col("cell_code").alias("row"), "ident", "ord")
+    design = transform.features(cells).join(pool, "row").withColumn("y", F.lit(0.0))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        x, _, rows, _, order = learners.dense(group)
+        ids = group.drop_duplicates("row").set_index("row")["ident"].loc[rows].tolist()
+        picks = learners.d_optimal(x / np.where(order == 1, 1.0, 2.0), ids, BUDGET // 2)
+        return pd.DataFrame({"rank": np.arange(1, len(picks) + 1), "cell_code": rows[picks]})
+
+    return learners.per_group(design, ["ord"], choose, "rank int, cell_code long")
+
+
+@query(
+    "journal_replay",
+    """with c as (select conv_id, turn, role, coalesce(lag(role) over (partition by conv_id order by turn), '') as before from conversations)
+select conv_id, count(*)::int as n_events, max_by(role, turn) as last_kind, (count(*) filter (before || '>' || role not in ('>user', '>system', 'system>user', 'user>assistant', 'assistant>user')))::int as n_illegal from c group by conv_id""",
+)
+def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as journals: each is folded in order into a state, and steps that may not follow are counted."""
+    from ..operators import journal
+    from ..sources.tables import table
+
+    return journal.replay(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", {"": ["user", "system"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]})
+
+
+@query("incremental_scores", LAND + "select cell_code, prior as score from land where ord between 1 and 3 and cell_code % 3 <> 0")
+def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of candidates that the store lacks, as a batch of a stream would add them."""
+    from ..streaming import scores
+
+    cells = landscape(spark, sf_dir, MAIN)
+    stored = cells.where("cell_code % 3 = 0 and ord between 1 and 3").select("cell_code", F.col("prior").alias("score"))
+    wanted = lattice.candidates(cells, 3).select("cell_code")
+    return scores.missing(wanted, stored).join(cells.select("cell_code", F.col("prior").alias("score")), "cell_code")
