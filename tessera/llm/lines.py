@@ -61,17 +61,17 @@ def _joined(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as ``doc`` with ``text`` after removal and the counts of what went."""
     gone = repeated(docs).groupBy("doc_id", "digest").agg(F.collect_set("start").alias("gone"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), common.digest(F.col("text")).alias("d_digest"))
-    both = rows.join(gone, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_digest") == F.col("digest")), "left").select("doc", "gone", F.coalesce("doc.text", F.lit("")).alias("text"))
-    cut = with_chunks(both.where("gone is not null"))
+    # one path for all rows, as two would shuffle the texts twice; a text that loses nothing is not cut up
+    both = rows.join(gone, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_digest") == F.col("digest")), "left").select("doc", "gone", F.when(F.col("gone").isNotNull(), F.col("doc.text")).alias("text"))
+    cut = with_chunks(both)
     left = F.filter("chunks", lambda c: ~F.array_contains("gone", c["start"]))
+    n_lines = F.size(F.split(F.coalesce("doc.text", F.lit("")), "\n"))
+    lost = F.coalesce(F.size("lines") - F.aggregate(left, F.lit(0), lambda a, c: a + c["n"]), F.lit(0))
     # through a generator, as a filter on the result would else be put below with all that makes it, many times over
-    cut = cut.select("doc", F.inline_outer(F.array(F.struct(
-        F.array_join(F.flatten(F.transform(left, lambda c: F.slice("lines", c["start"] + 1, c["n"]))), "\n").alias("text"),
-        F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed_chunks"),
-        (F.size("lines") - F.aggregate(left, F.lit(0), lambda a, c: a + c["n"])).cast("long").alias("n_removed_lines"),
+    return cut.select("doc", F.inline_outer(F.array(F.struct(
+        F.coalesce(F.array_join(F.flatten(F.transform(left, lambda c: F.slice("lines", c["start"] + 1, c["n"]))), "\n"), F.col("doc.text")).alias("text"),
+        n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("n_removed_chunks"), lost.cast("long").alias("n_removed_lines"),
     ))))
-    whole = both.where("gone is null").select("doc", F.col("doc.text").alias("text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed_chunks"), F.lit(0).cast("long").alias("n_removed_lines"))
-    return cut.unionByName(whole)
 
 
 def clean(docs: DataFrame) -> DataFrame:
