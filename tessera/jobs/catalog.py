@@ -761,3 +761,92 @@ def calibration_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pool(spark, sf_dir).select("cell_code", "prior", "prior_var").join(_main(spark, sf_dir).select("cell_code", "dg"), "cell_code").withColumn("err", F.abs(F.col("prior") - F.col("dg"))).withColumn("one", F.lit(1))
     rows = rows.withColumn("rv", stats.average_rank("prior_var", "one")).withColumn("re", stats.average_rank("err", "one"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(stats.slope(F.col("prior"), F.col("dg")), 6).alias("slope"), F.round(F.avg("err"), 6).alias("mean_error"), F.round(stats.pearson(F.col("prior_var"), F.col("err")), 6).alias("pearson"), F.round(stats.pearson(F.col("rv"), F.col("re")), 6).alias("spearman"))
+
+
+# ---------------------------------------------------------------- scoring plan, samples, decisions
+
+_PASSES = 4
+
+
+def _plan_sql() -> str:
+    coin = lambda k: f"('0x' || substr(sha256('mask-1:' || ident || ':' || pass || ':{k}'), 1, 8))::bigint % 2 = 1"
+    shown = ", ".join(f"case when d{k} = 0 and pass > 0 and {coin(k)} then '*' else d{k}::varchar end as s{k}" for k in range(4))
+    ask = " union all ".join(f"select cell_code, pass, {k} as dim, concat_ws(',', s0, s1, s2, s3) as pattern, concat_ws(',', {', '.join(repr('0') if j == k else f's{j}' for j in range(4))}) as base from pl where d{k} > 0" for k in range(4))
+    digit = ", ".join(f"case when (m >> {k}) & 1 = 1 then '*' else d{k}::varchar end" for k in range(4))
+    return POOL + f""", pl as (select cell_code, pass, d0, d1, d2, d3, {shown} from pool, (select unnest(range({_PASSES + 1})) as pass)),
+ask as ({ask}), mg as (select concat_ws(',', {digit}) as pattern, round(avg(prior), 9) as mean from land, (select unnest(range(16))::int as m) group by 1),
+un as (select distinct pattern, base from ask), sc as (select un.pattern, un.base, round(a.mean - b.mean, 9) as gain from un join mg a using (pattern) join mg b on un.base = b.pattern),
+su as (select cell_code, pass, round(sum(gain), 9) as total from ask join sc using (pattern, base) group by all)"""
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators import scoring
+
+    cells = _main(spark, sf_dir)
+    return scoring.plan(selection.scored(cells), _PASSES, "mask-1"), scoring.marginals(cells, "prior")
+
+
+@query("scoring_plan_rows", _plan_sql() + " select (select count(*) from ask) as planned, (select count(*) from un) as n_unique")
+def scoring_plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import scoring
+
+    planned, _ = _planned(spark, sf_dir)
+    return planned.agg(F.count(F.lit(1)).alias("planned")).crossJoin(scoring.unique(planned).agg(F.count(F.lit(1)).alias("n_unique")))
+
+
+@query("masked_scores", _plan_sql() + " select cell_code, round(max(total) filter (pass = 0), 6) as score, round(coalesce(var_pop(total) filter (pass > 0), 0), 6) as variance from su group by cell_code")
+def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import scoring
+
+    planned, means = _planned(spark, sf_dir)
+    return scoring.finalize(planned, scoring.score(scoring.unique(planned), means))
+
+
+@query("stratified_sample", "select c_custkey, c_mktsegment, c_nationkey, rn from (select *, row_number() over (partition by c_mktsegment, c_nationkey order by sha256('draw-2:' || c_custkey), c_custkey) as rn from customer) where rn <= 2")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of every stratum without replacement, by a seeded order; the sampling is the feature."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("c_mktsegment", "c_nationkey").orderBy(C.stable_order("draw-2", F.col("c_custkey").cast("string")), "c_custkey")
+    return table(spark, sf_dir, "customer").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("c_custkey", "c_mktsegment", "c_nationkey", "rn")
+
+
+@query(
+    "recovery_decision",
+    _orders_sql(_AUC) + " select method, round(median(auc), 6) as median_auc, round(min(auc), 6) as min_auc, round(max(auc), 6) as max_auc, count(*) filter (auc > 120) as n_over, case when count(auc) < count(*) then 'incomplete' when median(auc) > 120 then 'pass' else 'fail' end as decision from auc group by method",
+)
+def recovery_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and ranges by method against a threshold; an undefined value leaves the decision open."""
+    auc = folds.budget_auc(_metric_grid(spark, sf_dir), "value", "budget", "y", "fold", "method")
+    decision = F.when(F.count("auc") < F.count(F.lit(1)), "incomplete").when(F.median("auc") > 120, "pass").otherwise("fail")
+    return auc.groupBy("method").agg(F.round(F.median("auc"), 6).alias("median_auc"), F.round(F.min("auc"), 6).alias("min_auc"), F.round(F.max("auc"), 6).alias("max_auc"), F.count_if(F.col("auc") > 120).alias("n_over"), decision.alias("decision"))
+
+
+#: Upper 97.5 per cent points of Student's t by degrees of freedom; fixed values.
+T_975 = {4: 2.776445, 9: 2.262157, 19: 2.093024, 24: 2.063899, 34: 2.032245, 49: 2.009575, 99: 1.984217}
+
+
+@query(
+    "corrected_interval",
+    _orders_sql(_DELTA) + f""", s as (select count(delta) as n, avg(delta) as m, var_samp(delta) as v from dl)
+select n, round(m, 6) as mean, round(sqrt(v * (1.0 / n + 0.25)), 6) as se, round(m - t * sqrt(v * (1.0 / n + 0.25)), 6) as lo, round(m + t * sqrt(v * (1.0 / n + 0.25)), 6) as hi
+from s left join (select unnest({list(T_975)}) as df, unnest({list(T_975.values())}::double[]) as t) on df = n - 1""",
+)
+def corrected_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of paired deltas with the variance that overlapping training sets call for; null without a tabled quantile."""
+    s = _deltas(spark, sf_dir).agg(F.count("delta").alias("n"), F.avg("delta").alias("m"), F.var_samp("delta").alias("v"))
+    t = spark.createDataFrame([(int(k), float(v)) for k, v in T_975.items()], "df int, t double")
+    se = F.sqrt(F.col("v") * (1.0 / F.col("n") + 0.25))
+    return s.join(t, F.col("df") == F.col("n") - 1, "left").select("n", F.round("m", 6).alias("mean"), F.round(se, 6).alias("se"), F.round(F.col("m") - F.col("t") * se, 6).alias("lo"), F.round(F.col("m") + F.col("t") * se, 6).alias("hi"))
+
+
+@query(
+    "claim_audit",
+    """with d as (select doc_id, regexp_extract(text, '(Licensed under|Released under|licensed under)[^\\n]*', 0) as line, text from documents where contains(text, 'icensed under') or contains(text, 'eleased under'))
+select doc_id, line, contains(text, 'All rights reserved') as forbidden, sha256(line) as digest from d where line <> ''""",
+)
+def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that claim something, whether a literal that may not stand beside them does, and their digest."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").contains("icensed under") | F.col("text").contains("eleased under"))
+    line = F.regexp_extract("text", r"(Licensed under|Released under|licensed under)[^\n]*", 0)
+    return docs.select("doc_id", line.alias("line"), F.col("text").contains("All rights reserved").alias("forbidden")).where("line <> ''").withColumn("digest", F.sha2("line", 256))
