@@ -63,7 +63,7 @@ def write_once(df: DataFrame, path: str) -> None:
 
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     """The one record of a FASTA file: name, sequence in upper case."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", r"^>([^\n]*)", 1).alias("name"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^>[^\n]*\n", ""), r"\s", "")).alias("sequence"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"^>([^\n]*)", 1).alias("name"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^>[^\n]*\n", ""), r"\s", "")).alias("sequence"))
     return text.where(F.assert_true(~F.col("sequence").contains(">"), F.lit("more than one record")).isNull())
 
 
