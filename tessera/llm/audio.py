@@ -112,7 +112,7 @@ def decode_wav(raw: bytes | None) -> np.ndarray:
 
 def fingerprints(df: DataFrame, rec_id: Column, audio: Column, decode: Callable = decode_wav) -> DataFrame:
     """rec_id and ``fp``, the packed integers, of each row. ``decode`` makes samples of a value and its id."""
-    rows = df.select(rec_id.alias("rec_id"), audio.alias("audio"))
+    rows = common.bound_batches(df).select(rec_id.alias("rec_id"), audio.alias("audio"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,6 +33,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of rows that go to a Python worker at once, so that very long texts don't make batches of any size.
+BATCH_BYTES = 32 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches bounded in bytes unless the user has set a lower bound."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def fits(df: DataFrame, limit_bytes: int, row_bytes: Column | int) -> bool:
     """Whether ``df`` takes at most ``limit_bytes``, by a count of its own: the check before a broadcast."""
     total = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0]

@@ -201,7 +201,7 @@ def votes(pages: DataFrame) -> DataFrame:
                         out[host, path] = out.get((host, path), 0.0) + s / top
             yield pd.DataFrame([(*k, v) for k, v in out.items()], columns=["host", "path", "votes"])
 
-    read = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html")
+    read = common.bound_batches(pages).where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html")
     return read.mapInPandas(vote, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 

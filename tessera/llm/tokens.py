@@ -83,7 +83,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     spread over the cluster chunk by chunk. Null texts count as empty: no ids. Rows that repeat give
     rows that repeat; an empty table gives none; other columns are not looked at.
     """
-    rows = docs.select(common.text_id(docs), F.coalesce("text", F.lit("")).alias("text"))
+    rows = common.bound_batches(docs).select(common.text_id(docs), F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk_chars)
     long = rows.where(F.length("text") > chunk_chars)
 
@@ -218,7 +218,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int
         out["offset"] = np.array([o for _, o in placed], dtype=np.int64)
         return out
 
-    rows = docs.select(common.text_id(docs), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = common.bound_batches(docs).select(common.text_id(docs), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     return common.typed_id(rows.mapInPandas(cut, _PIECES).groupBy("grp").applyInPandas(pack, _PACKED), docs)
 
 
