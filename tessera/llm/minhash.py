@@ -9,7 +9,7 @@ from the buckets are verified by the exact probability Jaccard, and linked texts
 No bucket is expanded into all pairs. Its members are compared with one representative, the one that
 meets most others over all buckets. One minus the probability Jaccard is a metric, so afterwards only pairs remain
 that lie in different components and whose distances to the representative differ by no more than a
-link's; those are compared one by one.
+link's. Of those, the pairs whose signatures agree nearly often enough are compared one by one.
 """
 
 from __future__ import annotations
@@ -19,14 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import components
 
 SHINGLE_WORDS = 5
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 1 << 20
+#: Keys of the texts to compare are broadcast up to this size; beyond it the texts are shuffled to them.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of a signature that share a long; seven, so that sums over them stay positive.
+_PACKED = 7
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -35,9 +39,21 @@ _GOLDEN = _U(0x9E3779B97F4A7C15)
 class Params:
     """A pair of similarity ``threshold`` meets in a bucket with probability 1 - (1 - threshold ** rows) ** bands."""
 
-    bands: int = 24
-    rows: int = 5
+    bands: int = 40
+    rows: int = 8
     threshold: float = 0.8
+    #: A signature's estimate may fall short of the threshold by so many standard deviations (four: one pair in 30,000 falls shorter).
+    deviations: float = 4.0
+
+    @property
+    def size(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def least_equal(self) -> int:
+        """So many components agree at least, the filling of the last packed number counted in."""
+        t = self.threshold
+        return int(self.size * (t - self.deviations * (t * (1 - t) / self.size) ** 0.5)) + -self.size % _PACKED
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,10 +125,9 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
     first = np.full(texts * size, np.inf)
     out = np.zeros(texts * size, dtype=np.uint64)
     state, now, w = _mix(shingle + _U(11)), np.zeros(len(shingle)), weight.astype(np.float64)
-    turn, steps = 0, 1
     while len(owner):
-        # the first arrivals one at a time, then several at once for the few shingles still going
-        steps = 1 if turn < 4 else 16
+        # one arrival at a time while many shingles go on, then several at once for the few that are left
+        steps = max(1, min(16, 40_000 // len(owner)))
         draws = _mix(state[:, None] + np.arange(1, steps + 1, dtype=np.uint64) * _GOLDEN)
         gaps = -np.log(((draws >> _U(11)).astype(np.float64) + 0.5) / 2.0**53)
         times = now[:, None] + np.cumsum(gaps, axis=1) / w[:, None]
@@ -124,7 +139,6 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
         state, now = draws[:, -1], times[:, -1]
         on = now < last[owner]
         owner, shingle, w, state, now = owner[on], shingle[on], w[on], state[on], now[on]
-        turn += 1
     return out.reshape(texts, size)
 
 
@@ -144,9 +158,12 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def band_keys(data: np.ndarray, offsets: np.ndarray, params: Params) -> np.ndarray:
-    """For each text the keys of its buckets, one for each band. A text without words has zeros."""
-    out = [np.zeros((0, params.bands), dtype=np.int64)]
+def band_keys(data: np.ndarray, offsets: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the keys of its buckets, one for each band, and a byte of each component of its signature, packed.
+
+    A text without words has zeros.
+    """
+    out, packed = [np.zeros((0, params.bands), dtype=np.int64)], [np.zeros((0, -(-params.size // _PACKED)), dtype=np.int64)]
     place = _mix(np.arange(1, params.rows + 1, dtype=np.uint64)) | _U(1)
     for i, j in _blocks(offsets):
         owner, shingle, count = shingles(data, offsets[i : j + 1])
@@ -154,7 +171,21 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, params: Params) -> np.ndarr
         keys = _mix((s * place).sum(axis=2) + np.arange(1, params.bands + 1, dtype=np.uint64) * _GOLDEN)
         keys[np.bincount(owner, minlength=j - i) == 0] = 0
         out.append(keys.view(np.int64))
-    return np.concatenate(out)
+        low = np.zeros((j - i, packed[0].shape[1] * _PACKED), dtype=np.int64)
+        low[:, : params.size] = ((s >> _U(17)) & _U(255)).astype(np.int64).reshape(j - i, params.size)
+        packed.append((low.reshape(j - i, -1, _PACKED) << (8 * np.arange(_PACKED))).sum(axis=2))
+    return np.concatenate(out), np.concatenate(packed)
+
+
+def agreeing(a: str, b: str) -> Column:
+    """In how many bytes two packed signatures are equal: a byte of their difference is zero if adding 127 to its low bits sets nothing."""
+    low = int("7f" * _PACKED, 16)
+
+    def equal(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        return _PACKED - F.bit_count((d.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(d).bitwiseAND(F.lit(low ^ int("ff" * _PACKED, 16))))
+
+    return F.aggregate(F.zip_with(a, b, equal), F.lit(0), lambda n, x: n + x)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -172,28 +203,29 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("node"), "text")
+    return common.bound_batches(docs).where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("node"), "text")
 
 
-def _buckets(docs: DataFrame, params: Params) -> DataFrame:
-    """(key, node) of every bucket with two texts or more."""
+def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """(node, keys, sig) of every text, and (key, node) of every bucket with two texts or more."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(*_column(batch, "text"), params)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, params.bands), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "keys"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in band_keys(*_column(batch, "text"), params)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "keys", "sig"])
 
-    nodes = common.keep(_texts(docs).mapInArrow(bands, "node string, keys array<long>").groupBy("node").agg(F.first("keys").alias("keys")))
+    nodes = common.keep(_texts(docs).mapInArrow(bands, "node string, keys array<long>, sig array<long>").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     placed = nodes.select("node", F.explode("keys").alias("key")).where("key <> 0")
     full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return common.keep(placed.join(full, "key"))
+    return nodes, common.keep(placed.join(full, "key"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (u, v) with ``distance``, by their whole texts."""
+    pairs = common.keep(pairs)
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = _texts(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    small = common.fits(wanted, BROADCAST_BYTES, 64)
+    texts = _texts(docs).join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +244,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.keep(both.mapInArrow(compare, "u string, v string, distance double"))
 
 
-def links(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """(u, v): texts, by their md5, that are linked; enough links to join all that belong together, not every one."""
+def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """(node, comp): the texts, by their md5, that have links, and the component that the links join them to."""
     near = 1.0 - params.threshold + 1e-12
-    members = _buckets(docs, params)
+    nodes, members = _buckets(docs, params)
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     heads = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("head"))
     rays = members.join(heads, "key").select("key", "node", "head")
@@ -227,11 +259,17 @@ def links(docs: DataFrame, params: Params = Params()) -> DataFrame:
     told = told.join(comps, "node", "left").select("key", "node", "head", F.coalesce("distance", F.lit(0.0)).alias("d"), F.coalesce("comp", "node").alias("comp"))
     head_comp = told.where("node = head").select("key", F.col("comp").alias("head_comp"))
     told = common.keep(told.join(head_comp, "key").where("node <> head"))
-    apart = told.where("comp <> head_comp").select("key", F.col("node").alias("u"), F.col("comp").alias("u_comp"), F.col("d").alias("u_d"))
-    others = told.select("key", F.col("node").alias("v"), F.col("comp").alias("v_comp"), F.col("d").alias("v_d"), (F.col("comp") == F.col("head_comp")).alias("joined"))
-    rest = apart.join(others, "key").where((F.col("u_comp") != F.col("v_comp")) & (F.abs(F.col("u_d") - F.col("v_d")) <= near) & (F.col("joined") | (F.col("u") < F.col("v"))))
+    unsettled = told.join(told.where("comp <> head_comp").select("key").distinct(), "key", "left_semi").join(nodes.select("node", "sig"), "node")
+    side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("d").alias(f"{c}_d"), F.col("sig").alias(f"{c}_sig")]
+    apart = unsettled.where("comp <> head_comp").select("key", *side("u"))
+    others = unsettled.select("key", *side("v"), (F.col("comp") == F.col("head_comp")).alias("joined"))
+    possible = (F.col("u_comp") != F.col("v_comp")) & (F.abs(F.col("u_d") - F.col("v_d")) <= near) & (F.col("joined") | (F.col("u") < F.col("v")))
+    rest = apart.join(others, (apart["key"] == others["key"]) & possible & (agreeing("u_sig", "v_sig") >= params.least_equal))
     rest = _verified(docs, rest.select("u", "v").distinct())
-    return found.unionByName(rest.where(F.col("distance") <= near).select("u", "v"))
+    late = rest.where(F.col("distance") <= near).select("u", "v")
+    if not late.take(1):
+        return comps
+    return components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(late))
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -241,7 +279,7 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     without a word are alike only if equal; a null text is in a class of its own row; rows that repeat are in one class;
     an empty table gives no rows.
     """
-    comps = components(links(docs, params))
+    comps = linked(docs, params)
     rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"))
     named = rows.join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     named = common.keep(named)

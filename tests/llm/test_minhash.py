@@ -42,6 +42,17 @@ def test_signatures_estimate_the_probability_jaccard():
         assert abs((s[i] == s[j]).mean() - jp(shingles(texts[i]), shingles(texts[j]))) < 0.04
 
 
+def test_packed_signatures_count_equal_components(spark):
+    params = minhash.Params()
+    texts = [words(150, 1), edited(words(150, 1), 40, 2), words(150, 3), "", edited(words(150, 1), 12, 5)]
+    _, packed = minhash.band_keys(*flat(texts), params)
+    owner, h, n = minhash.shingles(*flat(texts))
+    low = (minhash.signatures(owner, h, n, 5, params.size) >> np.uint64(17)) & np.uint64(255)
+    pairs = [(packed[i].tolist(), packed[j].tolist(), int((low[i] == low[j]).sum()) + -params.size % 7) for i in range(5) for j in range(5)]
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>, want int")
+    assert df.where(minhash.agreeing("a", "b") != df["want"]).count() == 0
+
+
 def brute(rows):
     parent = list(range(len(rows)))
 
