@@ -138,7 +138,11 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     order = F.xxhash64("doc_id")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "lang").limit(SAMPLE_ROWS)
+    # rows whose hash is low enough that some SAMPLE_PER_LANG times three are left of each language, then exactly the lowest
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = F.shiftrightunsigned(order, 11) / float(2**53) * F.col("n") <= 3 * SAMPLE_PER_LANG
+    few = labelled.select("doc_id", "lang").join(counts, "lang").where(low)
+    chosen = few.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "lang").limit(SAMPLE_ROWS)
     start = F.pmod(order, F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     texts = labelled.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text"))
     rows = texts.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).orderBy("lang", "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
@@ -160,7 +164,7 @@ def identify(docs: DataFrame, model: Model | None, columns: list[Column]) -> Dat
     equal results; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*columns).alias("kept"), F.when(text.rlike(r"\p{L}"), F.lower(text)).alias("text"))
+    rows = common.bound_batches(docs).select(F.struct(*columns).alias("kept"), F.when(text.rlike(r"\p{L}"), F.lower(text)).alias("text"))
     out = rows.select("kept", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")) if model is None else None
     if out is None:
 
