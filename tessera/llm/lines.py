@@ -3,7 +3,9 @@
 A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so an insertion moves
 only the boundaries next to it and the same passage falls into the same chunks in every document. A
 line of at least ``LONG_WORDS`` words is a chunk of its own. Chunks of several lines, and long lines,
-are grouped by their bytes over the whole corpus; all but the first of each group are removed.
+are grouped by their bytes over the whole corpus; all but the first of each group are removed. So does
+``dedup_lines``; ``clean``, for the pipeline, takes out every run of whole lines with ``LONG_WORDS`` words
+that stands earlier, and nothing shorter.
 """
 
 from __future__ import annotations
@@ -74,15 +76,66 @@ def _joined(docs: DataFrame) -> DataFrame:
     ))))
 
 
+def _windows(df: DataFrame) -> DataFrame:
+    """Of each text that isn't null: doc_id, digest, and of each window its key ``k`` and first and last line (from 0).
+
+    A window is the shortest run that has ``LONG_WORDS`` words and begins, or ends, at a line with words; lines
+    without words don't count. If two texts share a run of so many words, they share all windows inside it, and
+    these cover it: those that begin at its lines from its first line on, those that end at them to its last.
+    """
+    rows = df.where(F.col("text").isNotNull()).select("doc_id", common.digest(F.col("text")).alias("digest"), F.split("text", "\n").alias("x"))
+    rows = rows.withColumn("w", F.transform("x", lambda x: F.size(common.words(x))))
+    rows = rows.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) > 0))
+    rows = rows.select("doc_id", "digest", "at", F.transform("at", lambda i: F.get("w", i)).alias("w"), F.transform("at", lambda i: F.md5(F.get("x", i).cast("binary"))).alias("h"))
+    rows = rows.withColumn("back", F.reverse("w"))
+    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    step = lambda a, w: F.when(a["words"] >= LONG_WORDS, a).otherwise(F.struct((a["words"] + w).alias("words"), (a["n"] + 1).alias("n")))
+    # from each place on, how many lines have so many words; null where the text ends before
+    ahead = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.aggregate(F.slice(c, i + 1, LONG_WORDS), zero, step, lambda a: F.when(a["words"] >= LONG_WORDS, a["n"])))
+    some = F.aggregate("w", F.lit(0), lambda a, w: a + w) >= LONG_WORDS
+    # place and length in one number, as arrays of structs are made distinct by comparing all pairs
+    begin = F.transform(ahead("w"), lambda n, i: i * 64 + n)
+    end = F.transform(ahead("back"), lambda n, i: (F.size("w") - i - n) * 64 + n)
+    rows = rows.withColumn("codes", F.when(some, F.filter(F.array_union(begin, end), lambda c: c.isNotNull())))
+    place = lambda c: F.shiftright(c, 6)
+    window = lambda c: F.struct(
+        F.unhex(F.md5(F.array_join(F.slice("h", place(c) + 1, c % 64), "").cast("binary"))).alias("k"),
+        F.get("at", place(c)).alias("start"), F.get("at", place(c) + c % 64 - 1).alias("end"),
+    )
+    rows = rows.select("doc_id", "digest", F.when(F.size("h") == F.size("at"), F.transform("codes", window)).alias("windows"))
+    return rows.select("doc_id", "digest", F.explode_outer("windows").alias("c")).select("doc_id", "digest", "c.k", "c.start", "c.end").where("k is not null")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, ``gone``: the numbers of the lines to remove.
+
+    A line goes if it is in a run of whole lines with ``LONG_WORDS`` words and more that an earlier text (by doc_id,
+    then digest) holds too, or the same text wholly before it. Each such line stays in the first of these places.
+    """
+    places = _windows(docs)
+    groups = places.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "digest", "start", "end")).alias("first")).where("copies > 1").drop("copies")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    held = places.join(groups, "k").where(~same | (F.col("start") > F.col("first.end")))
+    spans = held.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return spans.select("doc_id", "digest", F.array_distinct(F.flatten(F.transform("spans", lambda e: F.sequence(e["start"], e["end"])))).alias("gone"))
+
+
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated chunks taken out of their texts; a document that has nothing left goes.
+    """``docs`` with the repeated passages taken out of their texts; a document that has nothing left goes.
 
     All columns stay; ``n_chars``, where there is one, follows a text that changes.
     """
-    rows = _joined(docs).where((F.col("n_removed_chunks") == 0) | (common.without_breaks(F.col("text")) != ""))
+    gone = passages(docs)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), common.digest(F.col("text")).alias("d_digest"))
+    both = rows.join(gone, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_digest") == F.col("digest")), "left")
+    both = both.select("doc", "gone", F.when(F.col("gone").isNotNull(), F.split("doc.text", "\n")).alias("lines"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    # through a generator, for the reason given in _joined
+    rows = both.select("doc", F.inline_outer(F.array(F.struct(F.coalesce(F.array_join(left, "\n"), F.col("doc.text")).alias("text"), F.col("gone").isNotNull().alias("cut")))))
+    rows = rows.where(~F.col("cut") | (common.without_breaks(F.col("text")) != ""))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed_chunks") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+        changed["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
     return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -57,3 +57,42 @@ def test_clean_keeps_columns_and_drops_what_is_used_up(docs, empty):
     assert 4 in ids and 2 in ids and 1 in ids and 6 not in ids
     assert out.where("doc_id = 10 and n_chars = length(text)").count() == 1
     assert lines.clean(empty).count() == 0 and lines.dedup_lines(empty).count() == 0
+
+
+def lines_by_brute_force(rows):
+    """What clean() leaves: for each pair of places all runs of equal lines, blank ones left out, word by word."""
+    docs = sorted({(i, t) for i, t in rows})
+    numbered = [[(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for _, t in docs]
+    out = []
+    for d, (i, t) in enumerate(docs):
+        gone, mine = set(), numbered[d]
+        for e in range(d + 1):
+            for a in range(len(mine)):
+                for b in range(len(numbered[e]) if e < d else a):
+                    for n in range(1, min(len(mine) - a, len(numbered[e]) - b, *([a - b] if e == d else [99])) + 1):
+                        if mine[a + n - 1][1] != numbered[e][b + n - 1][1]:
+                            break
+                        if sum(len(x.split()) for _, x in mine[a : a + n]) >= lines.LONG_WORDS:
+                            gone |= set(range(mine[a][0], mine[a + n - 1][0] + 1))
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        if left.strip() or not gone:
+            out.append((i, left))
+    return out
+
+
+def test_clean_takes_whole_passages_of_short_lines(spark):
+    passage = "\n".join(words(9, 50 + k) for k in range(6))
+    rows = [(k, "\n".join(words(8, 1000 * k + j) for j in range(k + 1)) + "\n" + passage + "\n" + words(9, 70 + k)) for k in range(8)]
+    got = {r.doc_id: r.text for r in lines.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: t if k == 0 else t.replace(passage + "\n", "") for k, t in rows}
+
+
+def test_clean_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    pool = [words(r.choice((1, 5, 12, 24, 55)), 300 + k) for k in range(14)] + ["", " "]
+    rows = [(k, "\n".join(pool[(s + j) % 16] if r.random() < 0.93 else words(3, 10 * k + j) for s in [r.randrange(16)] for j in range(r.randrange(1, 20)))) for k in range(40)]
+    rows += [(50, "\n".join(["la la"] * 120)), (51, "\n".join(["x"] * 49)), (52, "\n".join(["x"] * 49)), (53, "\n\n")]
+    got = lines.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == lines_by_brute_force(rows)
