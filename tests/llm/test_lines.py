@@ -96,3 +96,10 @@ def test_clean_against_brute_force(spark):
     rows += [(50, "\n".join(["la la"] * 120)), (51, "\n".join(["x"] * 49)), (52, "\n".join(["x"] * 49)), (53, "\n\n")]
     got = lines.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == lines_by_brute_force(rows)
+
+
+def test_clean_keeps_short_lines_that_many_documents_share(spark):
+    shared = ["Contents\n", "Hello\nMr Brown", "\n".join(words(7, 40 + k) for k in range(7))]
+    rows = [(k, f"{words(9, k)}\n" + f"\n{words(9, 90 + k)}\n".join(shared)) for k in range(6)] + [(10 + k, "Hello\nMr Brown") for k in range(3)]
+    got = lines.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows
