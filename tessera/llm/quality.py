@@ -20,16 +20,23 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """A line is removed in a host where more texts hold it than both limits allow."""
+    """A line is removed in a host where more texts hold it than both limits, ``host_texts`` and ``host_percent``, allow."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     host_texts: int = 50
     host_percent: int = 10
+    #: If set, a line above ``host_texts`` is also removed where more texts hold it than so many times the root of the host's texts.
+    host_roots: int | None = None
     #: A document keeps its place if at least this share of its words is left.
     min_left_percent: int = 50
 
 
+#: For hosts of any size: a floor of a few texts, and above it a tenth of the host or, in large ones, a count that grows slower.
+#: ``OP8_SQL`` states the limits of ``Rules()``, so ``op8_quality_rules`` keeps those.
+ANY_SIZE = Rules(host_texts=3, host_roots=5)
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: common.without_breaks(x) != "")
 
@@ -81,7 +88,10 @@ def common_lines(docs: DataFrame, rules: Rules) -> DataFrame:
     )
     hosts = docs.select(_host().alias("host"), common.digest(F.col("text")).alias("digest")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     held = lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.host_texts)
-    over = held.join(hosts, "host").where(F.col("n") * 100 > F.col("texts") * rules.host_percent).select("host", "h")
+    above = F.col("n") * 100 > F.col("texts") * rules.host_percent
+    if rules.host_roots is not None:
+        above |= F.col("n") * F.col("n") > F.col("texts") * rules.host_roots**2
+    over = held.join(hosts, "host").where(above).select("host", "h")
     return lines.join(over, ["host", "h"]).groupBy("doc_id", "host", "digest", "line").agg(F.first("words").alias("words"))
 
 
@@ -105,7 +115,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def clean(docs: DataFrame, rules: Rules = ANY_SIZE) -> DataFrame:
     """``docs`` without the rejected ones, common lines taken out of the texts of the others.
 
     All columns stay; ``n_chars``, where there is one, follows a text that changes.

@@ -48,3 +48,16 @@ def test_edges(docs, empty):
     out = quality.clean(docs)
     assert out.columns == docs.columns and sum(r.doc_id == 6 for r in out.collect()) == 2
     assert quality.judge(empty).count() == 0 and quality.clean(empty).count() == 0
+
+
+def test_common_lines_go_from_hosts_of_any_size(spark):
+    rows, want = [], {}
+    # of 5, 50 and 5,000 texts: a line in all, in just more than the limit, and in just as many as the limit
+    for host, size, limit in (("a", 5, 3), ("b", 50, 5), ("c", 5000, 353)):
+        for k in range(size):
+            shared = ["in all texts of the host"] + ["in a few too many"] * (k <= limit) + ["in few enough"] * (k < limit)
+            own = f"{host}{k} " + " ".join(f"w{(k * 31 + j) % 9973}x{j}" for j in range(24))
+            rows.append((len(rows), "\n".join([own, *shared]), host))
+            want[rows[-1][0]] = "\n".join([own] + ["in few enough"] * (k < limit))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in quality.clean(df).collect()} == want
