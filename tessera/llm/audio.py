@@ -2,8 +2,8 @@
 
 A recording becomes frames of twelve pitch classes; sixteen filters, sums of rectangles of an integral
 image over those frames, give two bits each, and so every frame one packed 32-bit integer. Recordings
-with the same integers are one class. Classes that share integers vote for the offset between them; the
-best offset is verified by the bit errors of all frames that overlap there.
+with the same integers are one class. Every offset at which two classes have an integer with one wrong
+bit at most is verified by the bit errors of all frames that overlap there.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ FILTERS, WIDEST = 16, 12
 #: A filter's two sums are told apart in three steps at these logarithms of their ratio.
 STEPS = (-0.35, 0.0, 0.35)
 GRAY = (0, 1, 3, 2)
-#: An alignment needs so many shared integers at one offset, so many frames that overlap, and no more wrong bits than this share.
-MIN_VOTES, MIN_OVERLAP, MAX_BIT_ERRORS = 6, 24, 0.15
+#: An alignment needs so many frames that overlap, and no more wrong bits than this share.
+MIN_OVERLAP, MAX_BIT_ERRORS = 24, 0.15
+#: So many classes are compared at once, so many frames are indexed, and so many places are looked at.
+BLOCK, INDEXED, PLACES = 512, 1 << 16, 1 << 22
+#: The classes that ask are broadcast up to this size; beyond it the product of the blocks is made by tasks.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -124,6 +128,91 @@ def fingerprints(df: DataFrame, rec_id: Column, audio: Column, decode: Callable
     return rows.mapInArrow(read, rows.select("rec_id").schema.add("fp", T.ArrayType(T.IntegerType())))
 
 
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes sum to ``limit`` at most, or that hold a single larger one."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, to
+        at = to
+
+
+def _each(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+_FLIPS = np.concatenate([[0], np.uint32(1) << np.arange(32, dtype=np.uint32)]).astype(np.uint32)
+
+
+def compare(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the first recordings, which of the second, offset, error: all alignments with an integer that has one wrong bit at most.
+
+    Recordings are given as their integers, one after the other, and their sizes.
+    """
+    a, b, found = a.view(np.uint32), b.view(np.uint32), []
+    a_starts, b_starts = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
+    b_of, b_at = np.repeat(np.arange(len(b_sizes)), b_sizes), _each(b_sizes)
+    for q0, q1 in _slices(a_sizes, INDEXED):
+        sizes = a_sizes[q0:q1]
+        x = (a[a_starts[q0] : a_starts[q0] + sizes.sum()][:, None] ^ _FLIPS).ravel()
+        order = np.argsort(x)
+        x, owner, place = x[order], np.repeat(np.arange(q0, q1), sizes)[order // 33], _each(sizes)[order // 33]
+        first = np.searchsorted(x, b, "left")
+        hits = np.searchsorted(x, b, "right") - first
+        for f0, f1 in _slices(hits, PLACES):
+            n = hits[f0:f1]
+            k = np.repeat(first[f0:f1], n) + _each(n)
+            q, r, offset = owner[k], np.repeat(b_of[f0:f1], n), np.repeat(b_at[f0:f1], n) - place[k]
+            start, end = np.maximum(0, -offset), np.minimum(a_sizes[q], b_sizes[r] - offset)
+            long = end - start >= MIN_OVERLAP
+            # the same alignment is looked at once in a slice
+            order = np.lexsort((offset[long], r[long], q[long]))
+            q, r, offset, start, end = (v[long][order] for v in (q, r, offset, start, end))
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (offset[1:] != offset[:-1])
+            q, r, offset, start, end = (v[new] for v in (q, r, offset, start, end))
+            for c0, c1 in _slices(end - start, PLACES):
+                size = (end - start)[c0:c1]
+                left, right = a_starts[q[c0:c1]] + start[c0:c1], b_starts[r[c0:c1]] + start[c0:c1] + offset[c0:c1]
+                step = _each(size)
+                wrong = np.add.reduceat(np.bitwise_count(a[np.repeat(left, size) + step] ^ b[np.repeat(right, size) + step]), np.cumsum(size) - size, dtype=np.int64)
+                error = wrong / (32 * size)
+                good = error <= MAX_BIT_ERRORS
+                found.append((q[c0:c1][good], r[c0:c1][good], offset[c0:c1][good], error[good]))
+    if not found:
+        return (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def _alignments(kinds: DataFrame) -> DataFrame:
+    """q, r, r_class, offset, error: the alignments of the classes that ask with all others, by blocks of both."""
+    asking = common.keep(kinds.where("asked").select("print", "fp"))
+    n_asking, n_all = asking.count(), kinds.count()
+    dealt = lambda df, n, name, *columns: df.groupBy(F.pmod(F.xxhash64("print"), F.lit(n // BLOCK + 1)).alias("block")).agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block")
+    asked, among = dealt(asking, n_asking, "a", "print", "fp"), dealt(kinds, n_all, "b", "print", "class_id", "fp")
+    small = common.fits(asking, BROADCAST_BYTES, F.size("fp") * 4 + 64)
+    pairs = common.bound_batches(among.crossJoin(F.broadcast(asked) if small else asked))
+
+    def flat(column: pa.ListArray, k: int) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
+        rows = column[k].values
+        fp = rows.field("fp")
+        return rows, fp.flatten().to_numpy(zero_copy_only=False), fp.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (a_rows, *a), (b_rows, *b) = flat(batch.column("a"), k), flat(batch.column("b"), k)
+                q, r, offset, error = compare(*a, *b)
+                q, r = pa.array(q), pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [a_rows.field("print").take(q), b_rows.field("print").take(r), b_rows.field("class_id").take(r), pa.array(offset, pa.int32()), pa.array(error)], names=["q", "r", "r_class", "offset", "error"]
+                )
+
+    schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("r", T.StringType()), T.StructField("r_class", kinds.schema["class_id"].dataType), T.StructField("offset", T.IntegerType()), T.StructField("error", T.DoubleType())])
+    return pairs.mapInArrow(read, schema).where("q <> r")
+
+
 def align(prints: DataFrame, asked: Column) -> DataFrame:
     """One row per row of ``prints`` (rec_id, fp): rec_id, class_id, n_frames, n_matches, best_class, best_offset, best_error.
 
@@ -134,20 +223,8 @@ def align(prints: DataFrame, asked: Column) -> DataFrame:
     """
     rows = common.keep(prints.select("rec_id", "fp", F.coalesce(asked, F.lit(False)).alias("asked"), F.when(F.size("fp") > 0, F.md5(F.array_join("fp", ",").cast("binary"))).alias("print")))
     kinds = common.keep(rows.where("print is not null").groupBy("print").agg(F.min("rec_id").alias("class_id"), F.max("asked").alias("asked"), F.first("fp").alias("fp")))
-    # of a run of equal integers only the first is posted
-    turns = F.filter(F.transform("fp", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: F.coalesce(F.get("fp", e["i"] - 1) != e["x"], F.lit(True)))
-    posted = kinds.select("print", "asked", F.explode_outer(turns).alias("e")).select("print", "asked", F.col("e.x").alias("x"), F.col("e.i").alias("i"))
-    asking = posted.where("asked").select(F.col("print").alias("q"), "x", F.col("i").alias("q_i"))
-    votes = asking.join(posted.select(F.col("print").alias("r"), "x", F.col("i").alias("r_i")), "x").where("q <> r").groupBy("q", "r", (F.col("r_i") - F.col("q_i")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("q", "r").agg(F.max(F.struct("votes", -F.abs("offset"), "offset"))["offset"].alias("offset"))
-    both = best.join(kinds.select(F.col("print").alias("q"), F.col("class_id").alias("q_class"), F.col("fp").alias("a")), "q").join(kinds.select(F.col("print").alias("r"), F.col("class_id").alias("r_class"), F.col("fp").alias("b")), "r")
-    start, end = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
-    # as longs without their upper half: bit_count would count the copies of a negative number's sign
-    differing = lambda i: F.get("a", i).bitwiseXOR(F.get("b", i + F.col("offset"))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    wrong = F.aggregate(F.sequence(start, end - 1), F.lit(0), lambda n, i: n + F.bit_count(differing(i)))
-    error = F.when(end - start >= MIN_OVERLAP, wrong / (32 * (end - start)))
-    matches = both.select("q", F.col("r_class"), "offset", error.alias("error")).where(F.col("error") <= MAX_BIT_ERRORS)
-    told = matches.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.round("error", 6).alias("error"), F.col("r_class").alias("r_class"), "offset")).alias("best"))
+    matches = _alignments(kinds)
+    told = matches.groupBy("q").agg(F.countDistinct("r").alias("n"), F.min(F.struct(F.round("error", 6).alias("error"), F.col("r_class").alias("r_class"), "offset")).alias("best"))
     out = rows.join(kinds.select("print", "class_id", F.col("asked").alias("any")), "print", "left").join(told.withColumnRenamed("q", "print"), "print", "left")
     return out.select(
         "rec_id", F.when(F.col("print").isNull(), F.col("rec_id")).otherwise(F.col("class_id")).alias("class_id"), F.size("fp").alias("n_frames"),

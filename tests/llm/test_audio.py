@@ -66,3 +66,26 @@ def test_query_finds_the_takes(spark):
     prints = audio.fingerprints(audio.recordings(vectors), F.col("rec_id"), F.col("audio"), lambda a: audio.melody(**a))
     got = {r.rec_id: r for r in audio.align(prints, F.col("rec_id") % 20 == 0).collect()}
     assert len(got) == 47 and sum(got[k].n_matches for k in (0, 20, 40)) == 6 and got[60].n_frames == 0
+
+
+def test_recall_against_every_offset_with_bit_errors(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(-(2**31), 2**31, (40, 117)).astype(np.int32)
+    rows, of = [(k, base[k].tolist()) for k in range(40)], {}
+    for k in range(40):
+        for n, share in ((117, 0.10), (117, 0.14), (24, 0.04), (24, 0.08)):
+            cut = r.integers(0, 118 - n)
+            wrong = np.packbits(r.random((n, 32)) < share, axis=1).view(">u4")[:, 0].astype(np.uint32).view(np.int32)
+            of[len(rows)] = k, cut
+            rows.append((len(rows), (base[k, cut : cut + n] ^ wrong).tolist()))
+    got = {x.rec_id: x for x in audio.align(spark.createDataFrame(rows, "rec_id long, fp array<int>"), F.col("rec_id") >= 40).collect()}
+    fps = {i: np.array(fp, np.int32) for i, fp in rows}
+    for kind in range(4):
+        want = {i: k for i, (k, cut) in of.items() if i % 4 == kind and errors(fps[i], fps[k], cut) <= audio.MAX_BIT_ERRORS}
+        found = sum(got[i].n_matches > 0 for i in want)
+        assert len(want) >= 30 and found >= 0.9 * len(want), (kind, found, len(want))
+
+
+def test_a_long_run_of_one_integer_is_aligned(spark):
+    prints = spark.createDataFrame([(0, [7] * 30), (20, [7] * 40)], "rec_id long, fp array<int>")
+    assert {x.rec_id: x.n_matches for x in audio.align(prints, F.lit(True)).collect()} == {0: 1, 20: 1}
