@@ -248,8 +248,17 @@ def melody(vector: list[float] | None, lead: int = 0, noise: float = 0.0, seed:
     return samples + noise * np.random.default_rng(seed).standard_normal(len(samples)) if noise else samples
 
 
+def _audio(vector: Column, noise: float) -> Column:
+    return F.struct(vector.alias("vector"), F.coalesce(F.pmod("vec_id", F.lit(5)), F.lit(0)).cast("int").alias("lead"), F.lit(noise).alias("noise"), F.coalesce(F.abs("vec_id"), F.lit(0)).alias("seed"))
+
+
+def own_recordings(vectors: DataFrame) -> DataFrame:
+    """rec_id and ``audio`` (vector, lead, noise, seed) for each row of ``embeddings``, of its own vector, as no table holds sound."""
+    return vectors.select(F.col("vec_id").alias("rec_id"), _audio(F.col("embedding"), 0.0).alias("audio"))
+
+
 def recordings(vectors: DataFrame) -> DataFrame:
-    """rec_id and ``audio`` (vector, lead, noise, seed) for each row of ``embeddings``, as no table holds sound.
+    """Recordings with something to find, for tests.
 
     Rows whose id leaves 1 or 2 by twenty are later, noisy takes of the row at the multiple of twenty before
     them, where there is one; all others are recordings of their own vector. Takes begin at different notes.
@@ -257,13 +266,12 @@ def recordings(vectors: DataFrame) -> DataFrame:
     place = F.pmod("vec_id", F.lit(20))
     first = vectors.where(place == 0).groupBy("vec_id").agg(F.first("embedding").alias("first")).select(F.col("vec_id").alias("of"), "first")
     takes = vectors.where(place.isin(1, 2)).select("vec_id", "embedding", (F.col("vec_id") - place).alias("of")).join(first, "of", "left")
-    audio = lambda vector, noise: F.struct(vector.alias("vector"), F.coalesce(F.pmod("vec_id", F.lit(5)), F.lit(0)).cast("int").alias("lead"), F.lit(noise).alias("noise"), F.coalesce(F.abs("vec_id"), F.lit(0)).alias("seed"))
-    own = vectors.where(F.coalesce(~place.isin(1, 2), F.lit(True))).select(F.col("vec_id").alias("rec_id"), audio(F.col("embedding"), 0.0).alias("audio"))
-    return own.unionByName(takes.select(F.col("vec_id").alias("rec_id"), audio(F.coalesce("first", "embedding"), 0.05).alias("audio")))
+    own = own_recordings(vectors.where(F.coalesce(~place.isin(1, 2), F.lit(True))))
+    return own.unionByName(takes.select(F.col("vec_id").alias("rec_id"), _audio(F.coalesce("first", "embedding"), 0.05).alias("audio")))
 
 
 def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth recording asks for its matches among all."""
-    sounds = recordings(common.read(spark, sf_dir, "embeddings"))
+    sounds = own_recordings(common.read(spark, sf_dir, "embeddings"))
     prints = fingerprints(sounds, F.col("rec_id"), F.col("audio"), lambda a: melody(**a))
     return align(prints, F.col("rec_id") % 20 == 0).withColumnRenamed("rec_id", "vec_id")

@@ -89,3 +89,12 @@ def test_recall_against_every_offset_with_bit_errors(spark):
 def test_a_long_run_of_one_integer_is_aligned(spark):
     prints = spark.createDataFrame([(0, [7] * 30), (20, [7] * 40)], "rec_id long, fp array<int>")
     assert {x.rec_id: x.n_matches for x in audio.align(prints, F.lit(True)).collect()} == {0: 1, 20: 1}
+
+
+def test_query_hears_every_row_itself(spark, tmp_path):
+    vector = lambda k: np.random.default_rng(k).standard_normal(64).tolist()
+    # 41 and 62 leave 1 and 2 by twenty, after rows that are there
+    rows = [(k, vector(20 if k in (41, 62) else k)) for k in (20, 40, 41, 60, 62)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in audio.op7_chroma_fingerprints(spark, str(tmp_path)).collect()}
+    assert {k: r.n_matches for k, r in got.items()} == {20: 2, 40: 0, 60: 0, 41: None, 62: None} and got[20].best_class == 41 and got[20].best_error == 0
