@@ -29,11 +29,16 @@ CONTAINERS = frozenset("body main article section div td blockquote".split())
 OUTSIDE = frozenset("head nav footer aside form menu dialog button".split())
 #: An element of the first kind ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|comments?|commentlist|disqus|replies|respond|sidebar|nav|navbar|navigation|menu|footer|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widgets?|toolbar|masthead|site-header)(?:$|[\s_-])",
-    re.IGNORECASE,
+_TERMS = (
+    r"(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|comments?|commentlist|disqus|replies|respond|sidebar|nav|navbar|navigation|menu|footer|"
+    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widgets?|toolbar|masthead|site-header)"
 )
+_PLACES = r"(?:left|right|top|bottom|upper|lower|primary|secondary|main|site|page|global|first|last|inner|outer|slot|unit|list|area|box|bar|block|section|container|wrapper|wrap|links?|buttons?|icons?|items?|posts?|articles?|stories|form|\d+)"
+#: Whole names, and compounds of such names with places and parts; what holds a state (no-sidebar, comments-open) isn't one.
+UNWANTED = re.compile(rf"(?:^|\s)(?:{_PLACES}[_-])*{_TERMS}(?:[_-](?:{_TERMS}|{_PLACES}|content|body|text))*(?:$|\s)", re.IGNORECASE)
+#: What readers wrote is read only where there is hardly anything else.
+_REPLIES = re.compile(r"comment|disqus|replies|respond", re.IGNORECASE)
+MOST, NEARLY_ALL = 0.5, 0.9
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 WEIGHTS = {"article": 1.5, "main": 1.3, "body": 0.7}
@@ -68,17 +73,25 @@ def _step(tag: str, names: str) -> str:
     return ".".join([tag, *classes])
 
 
-def parse(html: str) -> Page:
+def parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
+    """The page. An element that its names leave out is read if it holds most of the text in paragraphs; ``spared`` are the places of such."""
     page = Page()
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, left out, in a link
+    # tag, container, left out, in a link, place of the element whose names leave this out (or -1), in a paragraph
+    stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, -1, False)]
+    shown, held, share = 0, {}, {}
     at, n = 0, len(html)
     runs = page.runs
     while at < n:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
-        tag, box, out, link = stack[-1]
+        tag, box, out, link, by, para = stack[-1]
         if text and not out:
             runs.append((box, unescape(text) if "&" in text else text, link))
+        if text and para and not link:
+            if not out:
+                shown += len(text.strip())
+            elif by >= 0:
+                held[by] = held.get(by, 0) + len(text.strip())
         if not m:
             break
         at = m.end()
@@ -109,13 +122,14 @@ def parse(html: str) -> Page:
                     break
         if rest.endswith("/") and name not in BLOCK:
             continue
-        tag, box, out, link = stack[-1]
-        names, hidden = "", False
+        tag, box, out, link, by, para = stack[-1]
+        names, hidden, named, replies = "", False, False, False
         if rest.strip(" /"):
             for a in _ATTRIBUTE.finditer(rest):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
-                    hidden |= name not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
+                    named |= name not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
+                    replies |= bool(_REPLIES.search(value))
                     names += " " + value if key == "class" else ""
                 elif key == "role":
                     hidden |= value.lower() in ROLES
@@ -125,15 +139,23 @@ def parse(html: str) -> Page:
                     hidden |= value.lower() == "true"
                 else:
                     hidden |= "display:none" in value.replace(" ", "").lower()
-        out = out or hidden or name in OUTSIDE or (name == "header" and not any(t[0] in ("article", "main") for t in stack))
+        hidden |= name in OUTSIDE or (name == "header" and not any(t[0] in ("article", "main") for t in stack))
+        if hidden:
+            by = -1
+        elif named and not out and m.start() not in spared:
+            hidden, by = True, m.start()
+            share[by] = NEARLY_ALL if replies else MOST
+        out = out or hidden
         if name in CONTAINERS and not out:
             weight = WEIGHTS.get(name, 1.25 if WANTED.search(names) else 1.0)
             page.paths.append(f"{page.paths[box]}/{_step(name, names)}")
             page.parents.append(box)
             page.weights.append(weight)
             box = len(page.paths) - 1
-        stack.append((name, box, out, link or name == "a"))
-    return page
+        stack.append((name, box, out, link or name == "a", by, para or name == "p"))
+    total = shown + sum(held.values())
+    most = {place for place, n in held.items() if n > share[place] * total}
+    return parse(html, spared | most) if most else page
 
 
 def scores(page: Page) -> dict[str, float]:

@@ -33,3 +33,20 @@ def test_the_join_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, html.extract(pages).collect()))
     monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, html.extract(pages).collect())) == want
+
+
+def test_names_that_only_mention_what_is_unwanted():
+    for names in ("content no-sidebar", "entry-content has-sidebar", "post comments-open", "main-text share-enabled", "col-main with-ads", "story related-work"):
+        page = f"<body><div>top</div><div class='{names}'><p>the text of the article</p></div></body>"
+        assert "the text of the article" in html.main_text(page, None)[0], names
+    for names in ("ad", "x sidebar", "sidebar-left", "left_sidebar y", "ad-slot-2", "nav-menu", "social-share-buttons", "related-posts", "comment-list", "site-footer", "sidebar-content"):
+        page = f"<article><p>a text that is longer than the other</p><div class='{names}'><p>out</p></div></article>"
+        assert html.main_text(page, None)[0] == "a text that is longer than the other", names
+
+
+def test_a_left_out_element_with_most_of_the_text_is_read():
+    page = "<body><p>top</p><div class='widget'><p>" + "the article " * 9 + "</p><div class='share'><p>no</p></div></div></body>"
+    assert "the article" in html.main_text(page, None)[0] and "no" not in html.main_text(page, None)[0]
+    page = "<article><p>the article</p><div class='comments'><p>" + "a reader " * 3 + "</p></div></article>"
+    assert html.main_text(page, None)[0] == "the article"
+    assert "x" not in html.main_text("<article>y<div class='ad' hidden><p>x</p></div></article>", None)[0]
