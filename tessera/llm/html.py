@@ -46,8 +46,8 @@ WEIGHTS = {"article": 1.5, "main": 1.3, "body": 0.7}
 DECAY, LEVELS = 0.8, 5
 #: A page votes for the paths that score at least this share of its best one.
 VOTE_SHARE = 0.5
-#: The winning path must hold this share of what the page's own best one holds, or else the latter is read.
-LEAST_SHARE = 0.25
+#: A winning path beside the page's own best must hold this share of what that holds, and nearly all if that is long; else what holds both is read.
+LEAST_SHARE, LONG_TEXT = 0.25, 200
 #: Winning paths are broadcast up to this size; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
@@ -190,18 +190,64 @@ def best_path(found: dict[str, float]) -> str | None:
     return max(found, key=lambda p: (found[p], p)) if found else None
 
 
+def _measure(page: Page, path: str) -> tuple[int, int]:
+    """How many characters stand in the containers with this path: outside links, in links."""
+    inside: list[bool] = []
+    plain = linked = 0
+    for p, parent in zip(page.paths, page.parents):
+        inside.append(p == path or (parent >= 0 and inside[parent]))
+    for box, text, link in page.runs:
+        if inside[box]:
+            n = len(text.strip())
+            plain, linked = (plain, linked + n) if link else (plain + n, linked)
+    return plain, linked
+
+
+def _upwards(page: Page, path: str) -> list[str]:
+    """The path and those of what encloses it, from the inside."""
+    box, out = page.paths.index(path), []
+    while box >= 0:
+        out.append(page.paths[box])
+        box = page.parents[box]
+    return out
+
+
+def climbed(page: Page, path: str) -> str:
+    """The path of the outermost container that adds to the text of this one no more than it holds, and not mainly links.
+
+    An article or a main around it is taken in any case.
+    """
+    around = _upwards(page, path)
+    named = [re.split(r"[./]", p[len(q) + 1 :], maxsplit=1)[0] in ("article", "main") for p, q in zip(around, around[1:])]
+    first = named.index(True) if True in named else 0
+    best, (plain, linked) = around[first], _measure(page, around[first])
+    for q in around[first + 1 :]:
+        more, links = _measure(page, q)
+        if more == plain and links == linked:
+            continue
+        if more - plain <= links - linked or more - plain > plain:
+            break
+        best, plain, linked = q, more, links
+    return best
+
+
 def main_text(html: str, winner: str | None) -> tuple[str, str]:
     """The text and the path that it was read by."""
     page = parse(html)
     own = best_path(scores(page))
     if own is None:
         return "", ""
-    text = text_under(page, own)
+    read = own
     if winner is not None and winner != own and winner in page.paths:
-        agreed = text_under(page, winner)
-        if len(agreed) >= LEAST_SHARE * len(text):
-            return agreed, winner
-    return text, own
+        agreed, best = len(text_under(page, winner)), len(text_under(page, own))
+        nested = own in _upwards(page, winner) or winner in _upwards(page, own)
+        if agreed >= NEARLY_ALL * best or (not nested and best < LONG_TEXT and agreed >= LEAST_SHARE * best):
+            read = winner
+        elif nested or best >= LONG_TEXT:
+            over = set(_upwards(page, winner))
+            read = next(p for p in _upwards(page, own) if p in over)
+    read = climbed(page, read)
+    return text_under(page, read), read
 
 
 def host_of(url: Column) -> Column:

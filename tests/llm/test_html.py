@@ -50,3 +50,24 @@ def test_a_left_out_element_with_most_of_the_text_is_read():
     page = "<article><p>the article</p><div class='comments'><p>" + "a reader " * 3 + "</p></div></article>"
     assert html.main_text(page, None)[0] == "the article"
     assert "x" not in html.main_text("<article>y<div class='ad' hidden><p>x</p></div></article>", None)[0]
+
+
+def test_long_pages_keep_headline_and_lead():
+    body = "".join(f"<p>{'the body of the article goes on ' * 8}</p>" for _ in range(40))
+    whole = " ".join(f"Headline Lead {'the body of the article goes on ' * 320}".split())
+    inner = f"<div class='content'>{body}</div>"
+    for page in (
+        f"<article><h1>Headline</h1><p>Lead</p>{inner}</article>", f"<article><h1>Headline</h1><div class='a'><p>Lead</p><div class='b'>{inner}</div></div></article>",
+        f"<body><nav>menu</nav><div class='story'><h1>Headline</h1><p>Lead</p>{inner}</div><div><a href='x'>other pages of the site</a></div></body>",
+        f"<main><div><h1>Headline</h1></div><p>Lead</p>{inner}</main>",
+    ):
+        assert html.main_text(page, None)[0] == whole
+        for winner in html.scores(html.parse(page)):
+            assert whole in html.main_text(page, winner)[0], winner
+
+
+def test_a_winner_that_holds_a_part_of_the_article_is_widened():
+    part = lambda name, n: f"<div class='{name}'><p>{name} {'and so on ' * n}</p></div>"
+    page = f"<body><div class='post'>{part('first', 20)}{part('second', 60)}</div></body>"
+    text = html.main_text(page, "/body/div.post/div.first")[0]
+    assert "first" in text and "second" in text
