@@ -26,11 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_line_dedup": lines.op2_line_dedup,
-        "op3_near_duplicates": minhash.op3_near_duplicates,
-        "op4_packing": tokens.op4_packing,
         "op2_line_dedup": lines.OP2_SQL,
         "op5_license_scan": licenses.OP5_SQL,
-        "op7_chroma_fingerprints": audio.op7_chroma_fingerprints,
         "op8_quality_rules": quality.OP8_SQL,
     }

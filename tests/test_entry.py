@@ -20,6 +20,13 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_every_sql_is_text_that_runs(name):
+    assert isinstance(entry.oracle_sql()[name], str)
+    tables = views()
+    assert tables.sql(entry.oracle_sql()[name]).columns and tables.execute(entry.oracle_sql()[name]).fetchall() is not None
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
