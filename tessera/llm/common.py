@@ -20,16 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where none is named,
-    a local master gets a temporary folder and a cluster a folder in its warehouse.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where none is named, a local
+    master gets a temporary folder; a cluster must name one that all its machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-        else:
-            context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
 
 

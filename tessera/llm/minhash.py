@@ -6,10 +6,11 @@ arrival's shingle, and a shingle stops when its next arrival is later than every
 components agree with the probability Jaccard of the two texts. Bands of components make buckets; pairs
 from the buckets are verified by the exact probability Jaccard, and linked texts form classes.
 
-No bucket is expanded into all pairs. Its members are compared with one representative, the one that
-meets most others over all buckets. One minus the probability Jaccard is a metric, so afterwards only pairs remain
-that lie in different components and whose distances to the representative differ by no more than a
-link's. Of those, the pairs whose signatures agree nearly often enough are compared one by one.
+No bucket is expanded into all pairs. Its members are compared with one representative, a head, the one that
+meets most others over all buckets; then, as long as that settles some, those in other components with a new
+head. One minus the probability Jaccard is a metric, so afterwards only pairs remain that lie in different
+components and whose distances to no head differ by more than a link's. Of those, each in the first bucket that its
+two texts share, the pairs whose signatures agree nearly often enough are compared one by one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE_WORDS = 5
 _BLOCK_BYTES = 1 << 20
 #: Keys of the texts to compare are broadcast up to this size; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 8 << 20
-#: Bytes of a signature that share a long; seven, so that sums over them stay positive.
-_PACKED = 7
+#: Bytes of a long: so many components, a byte of each, stand for a band when signatures are compared.
+_PACKED = 8
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -44,6 +45,12 @@ class Params:
     threshold: float = 0.8
     #: A signature's estimate may fall short of the threshold by so many standard deviations (four: one pair in 30,000 falls shorter).
     deviations: float = 4.0
+    #: So many heads a bucket at most before its remaining pairs are looked at; fewer if the last one settled little.
+    rounds: int = 6
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.rows <= _PACKED:
+            raise ValueError(f"a band has 1 to {_PACKED} rows, not {self.rows}")
 
     @property
     def size(self) -> int:
@@ -51,9 +58,9 @@ class Params:
 
     @property
     def least_equal(self) -> int:
-        """So many components agree at least, the filling of the last packed number counted in."""
+        """So many components agree at least."""
         t = self.threshold
-        return int(self.size * (t - self.deviations * (t * (1 - t) / self.size) ** 0.5)) + -self.size % _PACKED
+        return int(self.size * (t - self.deviations * (t * (1 - t) / self.size) ** 0.5))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,11 +166,11 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def band_keys(data: np.ndarray, offsets: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the keys of its buckets, one for each band, and a byte of each component of its signature, packed.
+    """For each text the keys of its buckets, one for each band, and a byte of each component of its signature, a long for each band.
 
     A text without words has zeros.
     """
-    out, packed = [np.zeros((0, params.bands), dtype=np.int64)], [np.zeros((0, -(-params.size // _PACKED)), dtype=np.int64)]
+    out, packed = [np.zeros((0, params.bands), dtype=np.int64)], [np.zeros((0, params.bands), dtype=np.int64)]
     place = _mix(np.arange(1, params.rows + 1, dtype=np.uint64)) | _U(1)
     for i, j in _blocks(offsets):
         owner, shingle, count = shingles(data, offsets[i : j + 1])
@@ -171,21 +178,21 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, params: Params) -> tuple[np
         keys = _mix((s * place).sum(axis=2) + np.arange(1, params.bands + 1, dtype=np.uint64) * _GOLDEN)
         keys[np.bincount(owner, minlength=j - i) == 0] = 0
         out.append(keys.view(np.int64))
-        low = np.zeros((j - i, packed[0].shape[1] * _PACKED), dtype=np.int64)
-        low[:, : params.size] = ((s >> _U(17)) & _U(255)).astype(np.int64).reshape(j - i, params.size)
-        packed.append((low.reshape(j - i, -1, _PACKED) << (8 * np.arange(_PACKED))).sum(axis=2))
+        low = ((s >> _U(17)) & _U(255)).astype(np.int64)
+        packed.append((low << (8 * np.arange(params.rows))).sum(axis=2))
     return np.concatenate(out), np.concatenate(packed)
 
 
-def agreeing(a: str, b: str) -> Column:
-    """In how many bytes two packed signatures are equal: a byte of their difference is zero if adding 127 to its low bits sets nothing."""
-    low = int("7f" * _PACKED, 16)
+def agreeing(a: str, b: str, size: int) -> Column:
+    """In how many bytes two packed signatures of ``size`` components are equal: each byte's bits are folded into its lowest."""
 
-    def equal(x: Column, y: Column) -> Column:
+    def unequal(x: Column, y: Column) -> Column:
         d = x.bitwiseXOR(y)
-        return _PACKED - F.bit_count((d.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(d).bitwiseAND(F.lit(low ^ int("ff" * _PACKED, 16))))
+        for shift, mask in ((4, "0f"), (2, "03"), (1, "01")):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(int(mask * _PACKED, 16)))
+        return F.bit_count(d)
 
-    return F.aggregate(F.zip_with(a, b, equal), F.lit(0), lambda n, x: n + x)
+    return size - F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda n, x: n + x)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -207,7 +214,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """(node, keys, sig) of every text, and (key, node) of every bucket with two texts or more."""
+    """(node, sig) of every text, and (key, band, node, n) of every bucket with ``n`` texts, two or more."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +222,9 @@ def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "keys", "sig"])
 
     nodes = common.keep(_texts(docs).mapInArrow(bands, "node string, keys array<long>, sig array<long>").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    placed = nodes.select("node", F.explode("keys").alias("key")).where("key <> 0")
+    placed = nodes.select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0")
     full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return nodes, common.keep(placed.join(full, "key"))
+    return nodes.select("node", "sig"), common.keep(placed.join(full, "key").select("key", "band", "node", "n"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -244,28 +251,62 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.keep(both.mapInArrow(compare, "u string, v string, distance double"))
 
 
+def _among(comps: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``: that of their node, or the node itself."""
+    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Components by links to heads; and the members of buckets that still have several.
+
+    The latter are (key, band, node, comp, heads, dist, main): the bucket's heads so far, the distances to them (null
+    to those of the same component), and whether the component is that of the first. A head's pairs are all compared.
+    """
+    near = 1.0 - params.threshold + 1e-12
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<string>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.lit(True).alias("open"))
+    comps, left = None, None
+    for _ in range(params.rounds):
+        head = live.where("open").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
+        live = common.keep(live.join(head, "key", "left"))
+        asked = live.where("head is not null and comp <> head_comp").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+        tested = _verified(docs, asked)
+        links = tested.where(F.col("distance") <= near).select("u", "v")
+        if comps is None:
+            comps = components(links)
+        elif links.take(1):
+            comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(links))
+        told = live.join(tested.select(F.col("u").alias("node"), F.col("v").alias("head"), "distance"), ["node", "head"], "left")
+        told = told.select("key", "band", "node", "degree", F.when(F.col("head").isNull(), F.col("heads")).otherwise(F.concat("heads", F.array("head"))).alias("heads"), F.when(F.col("head").isNull(), F.col("dist")).otherwise(F.concat("dist", F.array("distance"))).alias("dist"))
+        told = common.keep(_among(comps, told))
+        # of each bucket with several components: the components of its heads, the first head's first
+        of_heads = told.where(F.array_contains("heads", F.col("node"))).groupBy("key").agg(F.collect_set("comp").alias("seen"), F.max(F.when(F.col("node") == F.get("heads", F.lit(0)), F.col("comp"))).alias("first"))
+        several = told.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+        live = told.join(several, "key", "left_semi").join(of_heads, "key")
+        live = common.keep(live.select("key", "band", "node", "degree", "comp", "heads", "dist", (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")))
+        now = live.where("open").count()
+        if not now or (left is not None and now > 0.7 * left):
+            break
+        left = now
+    return comps, live
+
+
 def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(node, comp): the texts, by their md5, that have links, and the component that the links join them to."""
     near = 1.0 - params.threshold + 1e-12
     nodes, members = _buckets(docs, params)
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    heads = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("head"))
-    rays = members.join(heads, "key").select("key", "node", "head")
-    tested = _verified(docs, rays.where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct())
-    found = tested.where(F.col("distance") <= near).select("u", "v")
-    comps = components(found)
-    # what remains: members of one bucket in different components, as far as the distances to its head allow a link
-    told = rays.join(tested.select(F.col("u").alias("node"), F.col("v").alias("head"), "distance"), ["node", "head"], "left")
-    told = told.join(comps, "node", "left").select("key", "node", "head", F.coalesce("distance", F.lit(0.0)).alias("d"), F.coalesce("comp", "node").alias("comp"))
-    head_comp = told.where("node = head").select("key", F.col("comp").alias("head_comp"))
-    told = common.keep(told.join(head_comp, "key").where("node <> head"))
-    unsettled = told.join(told.where("comp <> head_comp").select("key").distinct(), "key", "left_semi").join(nodes.select("node", "sig"), "node")
-    side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("d").alias(f"{c}_d"), F.col("sig").alias(f"{c}_sig")]
-    apart = unsettled.where("comp <> head_comp").select("key", *side("u"))
-    others = unsettled.select("key", *side("v"), (F.col("comp") == F.col("head_comp")).alias("joined"))
-    possible = (F.col("u_comp") != F.col("v_comp")) & (F.abs(F.col("u_d") - F.col("v_d")) <= near) & (F.col("joined") | (F.col("u") < F.col("v")))
-    rest = apart.join(others, (apart["key"] == others["key"]) & possible & (agreeing("u_sig", "v_sig") >= params.least_equal))
-    rest = _verified(docs, rest.select("u", "v").distinct())
+    comps, live = _settle(docs, members, params)
+    # a head has met all others
+    live = live.where(~F.array_contains("heads", F.col("node"))).join(nodes, "node")
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "comp", "dist", "sig")]
+    apart, others = live.where(~F.col("main")).select("key", "band", *side("u")), live.select(F.col("key").alias("v_key"), *side("v"), "main")
+    # a pair whose components differ has a side that isn't in the bucket's main component
+    once = (F.col("u_comp") != F.col("v_comp")) & (F.col("main") | (F.col("u_node") < F.col("v_node")))
+    excluded = F.exists(F.zip_with("u_dist", "v_dist", lambda x, y: F.abs(x - y) > near), lambda far: F.coalesce(far, F.lit(False)))
+    before = lambda c: F.slice(c, F.lit(1), F.col("band"))
+    earlier = F.exists(F.zip_with(before("u_sig"), before("v_sig"), lambda x, y: x == y), lambda same: same)
+    rest = apart.join(others, (F.col("key") == F.col("v_key")) & once & ~excluded & (agreeing("u_sig", "v_sig", params.size) >= params.least_equal) & ~earlier)
+    rest = _verified(docs, rest.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct())
     late = rest.where(F.col("distance") <= near).select("u", "v")
     if not late.take(1):
         return comps
