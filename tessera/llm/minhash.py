@@ -30,6 +30,8 @@ SHINGLE_WORDS = 5
 _BLOCK_BYTES = 1 << 20
 #: Keys of the texts to compare are broadcast up to this size; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 8 << 20
+#: Texts on either side of a block of pairs, on average; those of the v side are held in memory, those of the u side pass by.
+BLOCK_U, BLOCK_V = 4_096, 256
 #: Bytes of a long: so many components, a byte of each, stand for a band when signatures are compared.
 _PACKED = 8
 _U = np.uint64
@@ -228,27 +230,40 @@ def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with ``distance``, by their whole texts."""
+    """``pairs`` (u, v) with ``distance``, by their whole texts.
+
+    Pairs are dealt by a block of some ``BLOCK_V`` of the v and one of some ``BLOCK_U`` of the u, so that a text moves once to
+    each block that it has a pair in, and neither a text with many pairs nor many pairs among few texts meet in one task.
+    """
     pairs = common.keep(pairs)
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sizes = pairs.agg(F.approx_count_distinct("u").alias("u"), F.approx_count_distinct("v").alias("v")).first()
     small = common.fits(wanted, BROADCAST_BYTES, 64)
     texts = _texts(docs).join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
+    cells = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(sizes["u"] // BLOCK_U + 1)).alias("bu"), F.pmod(F.xxhash64("v"), F.lit(sizes["v"] // BLOCK_V + 1)).alias("bv"))
+    # the v of a cell come first
+    told = cells.groupBy("bu", "bv", F.col("v").alias("node")).agg(F.array().cast("array<string>").alias("others"), F.lit(0).alias("asks"))
+    asks = cells.groupBy("bu", "bv", F.col("u").alias("node")).agg(F.collect_list("v").alias("others"), F.lit(1).alias("asks"))
+    rows = told.unionByName(asks).join(texts, "node").repartition("bu", "bv").sortWithinPartitions("bu", "bv", "asks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, None)
+        cell, known = None, {}
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            v = batch.column("v").to_pylist()
-            u_data, u_offsets = _column(batch, "u_text")
-            v_data, v_offsets = _column(batch, "v_text")
-            for k in range(batch.num_rows):
-                if known[0] != v[k]:  # rows come ordered by v
-                    known = (v[k], shingles(v_data, v_offsets[k : k + 2])[1:])
-                out[k] = 1.0 - similarity(shingles(u_data, u_offsets[k : k + 2])[1:], known[1])
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(out)], names=["u", "v", "distance"])
-
-    return common.keep(both.mapInArrow(compare, "u string, v string, distance double"))
+            u, v, out = [], [], []
+            data, offsets = _column(batch, "text")
+            for k, (bu, bv, node, others, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bu", "bv", "node", "others", "asks")))):
+                if cell != (bu, bv):
+                    cell, known = (bu, bv), {}
+                own = shingles(data, offsets[k : k + 2])[1:]
+                if not asks:
+                    known[node] = own
+                for other in others:
+                    u.append(node)
+                    v.append(other)
+                    out.append(1.0 - similarity(own, known[other]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string()), pa.array(out, pa.float64())], names=["u", "v", "distance"])
+
+    return common.keep(rows.mapInArrow(compare, "u string, v string, distance double"))
 
 
 def _among(comps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -265,7 +280,7 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
     near = 1.0 - params.threshold + 1e-12
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<string>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.lit(True).alias("open"))
-    comps, left = None, None
+    comps, left = None, live.count()
     for _ in range(params.rounds):
         head = live.where("open").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
         live = common.keep(live.join(head, "key", "left"))
@@ -285,7 +300,7 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
         live = told.join(several, "key", "left_semi").join(of_heads, "key")
         live = common.keep(live.select("key", "band", "node", "degree", "comp", "heads", "dist", (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")))
         now = live.where("open").count()
-        if not now or (left is not None and now > 0.7 * left):
+        if not now or now > 0.7 * left:
             break
         left = now
     return comps, live
