@@ -133,11 +133,12 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
     """The ProbMinHash signature of each text: for each component the shingle that arrives first. Texts without shingles get zeros."""
     first = np.full(texts * size, np.inf)
     out = np.zeros(texts * size, dtype=np.uint64)
-    state, now, w = _mix(shingle + _U(11)), np.zeros(len(shingle)), weight.astype(np.float64)
+    seed, now, w, drawn = _mix(shingle + _U(11)), np.zeros(len(shingle)), weight.astype(np.float64), 0
     while len(owner):
         # one arrival at a time while many shingles go on, then several at once for the few that are left
         steps = max(1, min(16, 40_000 // len(owner)))
-        draws = _mix(state[:, None] + np.arange(1, steps + 1, dtype=np.uint64) * _GOLDEN)
+        # an arrival depends on the shingle and its number alone, whatever other texts are at hand
+        draws = _mix(seed[:, None] + np.arange(drawn + 1, drawn + steps + 1, dtype=np.uint64) * _GOLDEN)
         gaps = -np.log(((draws >> _U(11)).astype(np.float64) + 0.5) / 2.0**53)
         times = now[:, None] + np.cumsum(gaps, axis=1) / w[:, None]
         slot = owner[:, None] * size + (_mix(draws + _U(7)) % _U(size)).astype(np.int64)
@@ -145,9 +146,9 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
         won = times == first[slot]
         out[slot[won]] = np.broadcast_to(shingle[:, None], slot.shape)[won]
         last = first.reshape(texts, size).max(axis=1)
-        state, now = draws[:, -1], times[:, -1]
+        drawn, now = drawn + steps, times[:, -1]
         on = now < last[owner]
-        owner, shingle, w, state, now = owner[on], shingle[on], w[on], state[on], now[on]
+        owner, shingle, w, seed, now = owner[on], shingle[on], w[on], seed[on], now[on]
     return out.reshape(texts, size)
 
 
@@ -211,8 +212,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((x / (upper[back] + ratio[back] * lower[back])).sum())
 
 
+def _node() -> Column:
+    """The 16 bytes that stand for a text."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return common.bound_batches(docs).where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("node"), "text")
+    return common.bound_batches(docs).where(F.col("text").isNotNull()).select(_node().alias("node"), "text")
 
 
 def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +229,7 @@ def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in band_keys(*_column(batch, "text"), params)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "keys", "sig"])
 
-    nodes = common.keep(_texts(docs).mapInArrow(bands, "node string, keys array<long>, sig array<long>").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    nodes = common.keep(_texts(docs).mapInArrow(bands, "node binary, keys array<long>, sig array<long>").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     placed = nodes.select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0")
     full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return nodes.select("node", "sig"), common.keep(placed.join(full, "key").select("key", "band", "node", "n"))
@@ -242,7 +248,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = _texts(docs).join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     cells = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(sizes["u"] // BLOCK_U + 1)).alias("bu"), F.pmod(F.xxhash64("v"), F.lit(sizes["v"] // BLOCK_V + 1)).alias("bv"))
     # the v of a cell come first
-    told = cells.groupBy("bu", "bv", F.col("v").alias("node")).agg(F.array().cast("array<string>").alias("others"), F.lit(0).alias("asks"))
+    told = cells.groupBy("bu", "bv", F.col("v").alias("node")).agg(F.array().cast("array<binary>").alias("others"), F.lit(0).alias("asks"))
     asks = cells.groupBy("bu", "bv", F.col("u").alias("node")).agg(F.collect_list("v").alias("others"), F.lit(1).alias("asks"))
     rows = told.unionByName(asks).join(texts, "node").repartition("bu", "bv").sortWithinPartitions("bu", "bv", "asks")
 
@@ -261,9 +267,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     u.append(node)
                     v.append(other)
                     out.append(1.0 - similarity(own, known[other]))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string()), pa.array(out, pa.float64())], names=["u", "v", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(out, pa.float64())], names=["u", "v", "distance"])
 
-    return common.keep(rows.mapInArrow(compare, "u string, v string, distance double"))
+    return common.keep(rows.mapInArrow(compare, "u binary, v binary, distance double"))
 
 
 def _among(comps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -279,8 +285,9 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
     """
     near = 1.0 - params.threshold + 1e-12
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<string>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.lit(True).alias("open"))
+    live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<binary>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.lit(True).alias("open"))
     comps, left = None, live.count()
+    buckets = live.select("key").distinct().count()
     for _ in range(params.rounds):
         head = live.where("open").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
         live = common.keep(live.join(head, "key", "left"))
@@ -299,10 +306,11 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
         several = told.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
         live = told.join(several, "key", "left_semi").join(of_heads, "key")
         live = common.keep(live.select("key", "band", "node", "degree", "comp", "heads", "dist", (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")))
-        now = live.where("open").count()
-        if not now or now > 0.7 * left:
+        now = live.where("open").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("buckets")).first()
+        # links, not only the heads' own places, must have settled a tenth
+        if not now["rows"] or left - buckets - now["rows"] < 0.1 * left:
             break
-        left = now
+        left, buckets = now["rows"], now["buckets"]
     return comps, live
 
 
@@ -336,7 +344,7 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     an empty table gives no rows.
     """
     comps = linked(docs, params)
-    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"))
+    rows = docs.select("doc_id", _node().alias("node"))
     named = rows.join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
     named = common.keep(named)
     ids = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -348,7 +356,7 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
 def representatives(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``docs`` with one document of each class: the one with the least doc_id. All columns stay; null texts stay."""
     kept = classes(docs, params).where("node is not null and doc_id <=> class_id").groupBy("comp", "class_id").agg(F.min("node").alias("node"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), F.md5(F.col("text").cast("binary")).alias("d_node"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), _node().alias("d_node"))
     both = rows.join(kept, F.col("d_id").eqNullSafe(F.col("class_id")) & (F.col("d_node") == F.col("node")))
     one = both.groupBy("d_id", "d_node").agg(F.first("doc").alias("doc"))
     return one.select("doc.*").unionByName(docs.where(F.col("text").isNull()))

@@ -126,3 +126,10 @@ def test_a_large_group_of_copies_with_few_and_many_edits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id, r.class_id, r.class_size) for r in minhash.classes(df).collect())
     assert got == sorted(brute(rows))
+
+
+def test_signatures_do_not_depend_on_the_other_texts_of_a_block():
+    text, others = words(90, 31), [words(400, 40 + k) for k in range(150)]
+    params = minhash.Params()
+    alone, among = minhash.band_keys(*flat([text]), params)[0], minhash.band_keys(*flat([*others, text]), params)[0]
+    assert (alone[0] == among[-1]).all()
