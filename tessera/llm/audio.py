@@ -2,8 +2,9 @@
 
 A recording becomes frames of twelve pitch classes; sixteen filters, sums of rectangles of an integral
 image over those frames, give two bits each, and so every frame one packed 32-bit integer. Recordings
-with the same integers are one class. Every offset at which two classes have an integer with one wrong
-bit at most is verified by the bit errors of all frames that overlap there.
+with the same integers are one class. Keys of some bits of several frames are looked up for each class that
+asks; their places make a histogram of offsets, and every offset in it is verified by the bit errors of all
+frames that overlap there.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ STEPS = (-0.35, 0.0, 0.35)
 GRAY = (0, 1, 3, 2)
 #: An alignment needs so many frames that overlap, and no more wrong bits than this share.
 MIN_OVERLAP, MAX_BIT_ERRORS = 24, 0.15
-#: So many classes are compared at once, so many frames are indexed, and so many places are looked at.
-BLOCK, INDEXED, PLACES = 512, 1 << 16, 1 << 22
+#: A key takes so many bits of each of the frames at these distances; each table takes other bits.
+KEY_FRAMES, KEY_BITS, TABLES = (0, 4, 8, 12), 8, 6
+#: So many classes that ask, and of all, are compared at once; so many frames are indexed, and so many places are looked at.
+ASKED_BLOCK, BLOCK, INDEXED, PLACES = 4_096, 1_024, 1 << 19, 1 << 22
 #: The classes that ask are broadcast up to this size; beyond it the product of the blocks is made by tasks.
 BROADCAST_BYTES = 8 << 20
 
@@ -142,57 +145,111 @@ def _each(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-_FLIPS = np.concatenate([[0], np.uint32(1) << np.arange(32, dtype=np.uint32)]).astype(np.uint32)
+def _key_masks() -> np.ndarray:
+    """Which bits of each of its frames a table's keys take: (table, frame)."""
+    r = np.random.default_rng(1)
+    return np.array([[sum(1 << int(b) for b in r.permutation(32)[:KEY_BITS]) for _ in KEY_FRAMES] for _ in range(TABLES)], dtype=np.uint32)
 
 
-def compare(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the first recordings, which of the second, offset, error: all alignments with an integer that has one wrong bit at most.
+_MASKS = _key_masks()
 
-    Recordings are given as their integers, one after the other, and their sizes.
+
+def keys(fp: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each table (table, place), and the recording and the frame of each place where a key fits."""
+    n = max(0, len(fp) - KEY_FRAMES[-1])
+    at = _each(sizes)
+    fits = np.flatnonzero(at[:n] + KEY_FRAMES[-1] < np.repeat(sizes, sizes)[:n])
+    out = np.zeros((TABLES, len(fits)), dtype=np.uint64)
+    for k, distance in enumerate(KEY_FRAMES):
+        out = (out ^ (fp[fits + distance] & _MASKS[:, k : k + 1])) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out, np.repeat(np.arange(len(sizes)), sizes)[fits], at[fits]
+
+
+@dataclass(frozen=True)
+class Index:
+    """The sorted keys of each table with their recordings and frames, of one slice of the recordings that ask."""
+
+    keys: list[np.ndarray]
+    owners: list[np.ndarray]
+    places: list[np.ndarray]
+
+
+def index(a: np.ndarray, a_sizes: np.ndarray) -> list[Index]:
+    """An index for each ``INDEXED`` frames of recordings, given as their integers, one after the other, and their sizes."""
+    out, starts = [], np.cumsum(a_sizes) - a_sizes
+    for q0, q1 in _slices(a_sizes, INDEXED):
+        of, owner, place = keys(a.view(np.uint32)[starts[q0] : starts[q0] + a_sizes[q0:q1].sum()], a_sizes[q0:q1])
+        orders = [np.argsort(k) for k in of]
+        out.append(Index([k[o] for k, o in zip(of, orders)], [(owner[o] + q0).astype(np.int32) for o in orders], [place[o].astype(np.int32) for o in orders]))
+    return out
+
+
+def _hits(known: Index, of: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which that asks, which of the others, offset: for each key of the others that is in the index, in slices."""
+    for t in range(TABLES):
+        order = np.argsort(of[t])
+        first = np.searchsorted(known.keys[t], of[t][order], "left")
+        n = np.searchsorted(known.keys[t], of[t][order], "right") - first
+        there = np.flatnonzero(n)
+        first, n, at = first[there], n[there], order[there]
+        for f0, f1 in _slices(n, PLACES):
+            k = np.repeat(first[f0:f1], n[f0:f1]) + _each(n[f0:f1])
+            yield known.owners[t][k], np.repeat(owner[at[f0:f1]], n[f0:f1]), np.repeat(place[at[f0:f1]], n[f0:f1]) - known.places[t][k]
+
+
+def compare(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, indexes: list[Index] | None = None) -> tuple[np.ndarray, ...]:
+    """Which of the first recordings, which of the second, offset, error, votes: all alignments with a key in common.
+
+    Recordings are given as their integers, one after the other, and their sizes. Votes are the keys that fall on the offset.
     """
-    a, b, found = a.view(np.uint32), b.view(np.uint32), []
+    indexes = index(a, a_sizes) if indexes is None else indexes
+    a, b = a.view(np.uint32), b.view(np.uint32)
     a_starts, b_starts = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
-    b_of, b_at = np.repeat(np.arange(len(b_sizes)), b_sizes), _each(b_sizes)
-    for q0, q1 in _slices(a_sizes, INDEXED):
-        sizes = a_sizes[q0:q1]
-        x = (a[a_starts[q0] : a_starts[q0] + sizes.sum()][:, None] ^ _FLIPS).ravel()
-        order = np.argsort(x)
-        x, owner, place = x[order], np.repeat(np.arange(q0, q1), sizes)[order // 33], _each(sizes)[order // 33]
-        first = np.searchsorted(x, b, "left")
-        hits = np.searchsorted(x, b, "right") - first
-        for f0, f1 in _slices(hits, PLACES):
-            n = hits[f0:f1]
-            k = np.repeat(first[f0:f1], n) + _each(n)
-            q, r, offset = owner[k], np.repeat(b_of[f0:f1], n), np.repeat(b_at[f0:f1], n) - place[k]
-            start, end = np.maximum(0, -offset), np.minimum(a_sizes[q], b_sizes[r] - offset)
-            long = end - start >= MIN_OVERLAP
-            # the same alignment is looked at once in a slice
-            order = np.lexsort((offset[long], r[long], q[long]))
-            q, r, offset, start, end = (v[long][order] for v in (q, r, offset, start, end))
-            new = np.ones(len(q), bool)
-            new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (offset[1:] != offset[:-1])
-            q, r, offset, start, end = (v[new] for v in (q, r, offset, start, end))
-            for c0, c1 in _slices(end - start, PLACES):
-                size = (end - start)[c0:c1]
-                left, right = a_starts[q[c0:c1]] + start[c0:c1], b_starts[r[c0:c1]] + start[c0:c1] + offset[c0:c1]
-                step = _each(size)
-                wrong = np.add.reduceat(np.bitwise_count(a[np.repeat(left, size) + step] ^ b[np.repeat(right, size) + step]), np.cumsum(size) - size, dtype=np.int64)
-                error = wrong / (32 * size)
-                good = error <= MAX_BIT_ERRORS
-                found.append((q[c0:c1][good], r[c0:c1][good], offset[c0:c1][good], error[good]))
+    found, (of, owner, place) = [], keys(b, b_sizes)
+    for known in indexes:
+        # the histogram of offsets: each with its votes once
+        parts: list[tuple[np.ndarray, ...]] = []
+        for q, r, offset in _hits(known, of, owner, place):
+            parts.append(_counted(q, r, offset, np.ones(len(q), np.int64)))
+        if not parts:
+            continue
+        q, r, offset, votes = _counted(*(np.concatenate(v) for v in zip(*parts)))
+        start, end = np.maximum(0, -offset), np.minimum(a_sizes[q], b_sizes[r] - offset)
+        long = end - start >= MIN_OVERLAP
+        q, r, offset, votes, start, end = (v[long] for v in (q, r, offset, votes, start, end))
+        for c0, c1 in _slices(end - start, PLACES):
+            size = (end - start)[c0:c1]
+            left, right = a_starts[q[c0:c1]] + start[c0:c1], b_starts[r[c0:c1]] + start[c0:c1] + offset[c0:c1]
+            step = _each(size)
+            wrong = np.add.reduceat(np.bitwise_count(a[np.repeat(left, size) + step] ^ b[np.repeat(right, size) + step]), np.cumsum(size) - size, dtype=np.int64)
+            error = wrong / (32 * size)
+            good = error <= MAX_BIT_ERRORS
+            found.append((q[c0:c1][good], r[c0:c1][good], offset[c0:c1][good], error[good], votes[c0:c1][good]))
     if not found:
-        return (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+        return (*[np.zeros(0, np.int64)] * 3, np.zeros(0), np.zeros(0, np.int64))
     return tuple(np.concatenate(v) for v in zip(*found))
 
 
+def _counted(q: np.ndarray, r: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each different (q, r, offset) once, its votes summed."""
+    order = np.lexsort((offset, r, q))
+    q, r, offset, votes = q[order], r[order], offset[order], votes[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (offset[1:] != offset[:-1])
+    at = np.flatnonzero(new)
+    return q[at], r[at], offset[at], np.add.reduceat(votes, at) if len(at) else votes
+
+
 def _alignments(kinds: DataFrame) -> DataFrame:
-    """q, r, r_class, offset, error: the alignments of the classes that ask with all others, by blocks of both."""
+    """q, r, r_class, offset, error, votes: the alignments of the classes that ask with all others, by blocks of both."""
     asking = common.keep(kinds.where("asked").select("print", "fp"))
     n_asking, n_all = asking.count(), kinds.count()
-    dealt = lambda df, n, name, *columns: df.groupBy(F.pmod(F.xxhash64("print"), F.lit(n // BLOCK + 1)).alias("block")).agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block")
-    asked, among = dealt(asking, n_asking, "a", "print", "fp"), dealt(kinds, n_all, "b", "print", "class_id", "fp")
+    dealt = lambda df, n, name, *columns: df.groupBy(F.pmod(F.xxhash64("print"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct(*columns)).alias(name))
+    asked, among = dealt(asking, n_asking // ASKED_BLOCK + 1, "a", "print", "fp"), dealt(kinds, n_all // BLOCK + 1, "b", "print", "class_id", "fp").drop("b_block")
     small = common.fits(asking, BROADCAST_BYTES, F.size("fp") * 4 + 64)
-    pairs = common.bound_batches(among.crossJoin(F.broadcast(asked) if small else asked))
+    # ordered, so that a task indexes each block of those that ask once
+    pairs = common.bound_batches(among.crossJoin(F.broadcast(asked) if small else asked)).sortWithinPartitions("a_block")
 
     def flat(column: pa.ListArray, k: int) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
         rows = column[k].values
@@ -200,36 +257,39 @@ def _alignments(kinds: DataFrame) -> DataFrame:
         return rows, fp.flatten().to_numpy(zero_copy_only=False), fp.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, known = None, []
         for batch in batches:
             for k in range(batch.num_rows):
                 (a_rows, *a), (b_rows, *b) = flat(batch.column("a"), k), flat(batch.column("b"), k)
-                q, r, offset, error = compare(*a, *b)
+                if block != (block := batch.column("a_block")[k].as_py()) or not known:
+                    known = index(*a)
+                q, r, offset, error, votes = compare(*a, *b, known)
                 q, r = pa.array(q), pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [a_rows.field("print").take(q), b_rows.field("print").take(r), b_rows.field("class_id").take(r), pa.array(offset, pa.int32()), pa.array(error)], names=["q", "r", "r_class", "offset", "error"]
+                    [a_rows.field("print").take(q), b_rows.field("print").take(r), b_rows.field("class_id").take(r), pa.array(offset, pa.int32()), pa.array(error), pa.array(votes)], names=["q", "r", "r_class", "offset", "error", "votes"]
                 )
 
-    schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("r", T.StringType()), T.StructField("r_class", kinds.schema["class_id"].dataType), T.StructField("offset", T.IntegerType()), T.StructField("error", T.DoubleType())])
+    schema = T.StructType([T.StructField("q", T.StringType()), T.StructField("r", T.StringType()), T.StructField("r_class", kinds.schema["class_id"].dataType), T.StructField("offset", T.IntegerType()), T.StructField("error", T.DoubleType()), T.StructField("votes", T.LongType())])
     return pairs.mapInArrow(read, schema).where("q <> r")
 
 
 def align(prints: DataFrame, asked: Column) -> DataFrame:
-    """One row per row of ``prints`` (rec_id, fp): rec_id, class_id, n_frames, n_matches, best_class, best_offset, best_error.
+    """One row per row of ``prints`` (rec_id, fp): rec_id, class_id, n_frames, n_matches, best_class, best_offset, best_error, best_votes.
 
     A class holds the recordings with the same integers, its id the least rec_id; a recording too short for
     any is in a class of its own row. Classes with a row for which ``asked`` holds are compared with all
-    others; for the rest the last four are null. Copies are not expanded: a match is between classes. Null
+    others; for the rest the last five are null. Copies are not expanded: a match is between classes. Null
     recordings have no integers; rows that repeat get equal results; an empty table gives no rows.
     """
     rows = common.keep(prints.select("rec_id", "fp", F.coalesce(asked, F.lit(False)).alias("asked"), F.when(F.size("fp") > 0, F.md5(F.array_join("fp", ",").cast("binary"))).alias("print")))
     kinds = common.keep(rows.where("print is not null").groupBy("print").agg(F.min("rec_id").alias("class_id"), F.max("asked").alias("asked"), F.first("fp").alias("fp")))
     matches = _alignments(kinds)
-    told = matches.groupBy("q").agg(F.countDistinct("r").alias("n"), F.min(F.struct(F.round("error", 6).alias("error"), F.col("r_class").alias("r_class"), "offset")).alias("best"))
+    told = matches.groupBy("q").agg(F.countDistinct("r").alias("n"), F.min(F.struct(F.round("error", 6).alias("error"), F.col("r_class").alias("r_class"), "offset", "votes")).alias("best"))
     out = rows.join(kinds.select("print", "class_id", F.col("asked").alias("any")), "print", "left").join(told.withColumnRenamed("q", "print"), "print", "left")
     return out.select(
         "rec_id", F.when(F.col("print").isNull(), F.col("rec_id")).otherwise(F.col("class_id")).alias("class_id"), F.size("fp").alias("n_frames"),
         F.when(F.coalesce("any", "asked"), F.coalesce("n", F.lit(0).cast("long"))).alias("n_matches"),
-        F.col("best.r_class").alias("best_class"), F.col("best.offset").alias("best_offset"), F.col("best.error").alias("best_error"),
+        F.col("best.r_class").alias("best_class"), F.col("best.offset").alias("best_offset"), F.col("best.error").alias("best_error"), F.col("best.votes").alias("best_votes"),
     )
 
 
