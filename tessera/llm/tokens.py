@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,13 +36,23 @@ GROUP_DOCUMENTS = 4_096
 
 
 @lru_cache(maxsize=4)
-def encoding(ranks_path: str, pattern: str):
-    """The tiktoken encoding of a rank file, once per worker."""
+def encoding(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """The tiktoken encoding of a rank file, once per worker; ``added`` tokens are found in plain text too."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+
+
+def added_tokens(tokenizer_json: str) -> tuple[tuple[str, int], ...]:
+    """The tokens that a tokenizer's JSON adds to its vocabulary, which it matches wherever they stand in a text."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"an added token that takes in what stands beside it: {token['content']!r}")
+    return tuple((t["content"], t["id"]) for t in found)
 
 
 @lru_cache(maxsize=4)
@@ -64,7 +75,8 @@ def boundaries(text: str, pattern: str, start: int, end: int) -> list[int]:
 
 
 def _ids(encoder, text: str | None) -> np.ndarray:
-    return np.asarray(encoder.encode_to_numpy(text or "", disallowed_special=()), dtype="<u4")
+    """The ids of a text, those of the encoding's added tokens, if it has any, among them."""
+    return np.asarray(encoder.encode_to_numpy(text or "", allowed_special="all"), dtype="<u4")
 
 
 def _summary(encoder, ids: bytes) -> tuple[int, str, str]:
@@ -140,6 +152,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests; edge cases as ``encode_documents`` states."""
     import public_tokenizers
 
     return encode_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -184,9 +197,11 @@ _PIECES = "doc_id string, grp long, row long, start long, length long, ids_crc32
 _PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, group_documents: int = GROUP_DOCUMENTS, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Packs the tokens of all documents into sequences: one row per piece of a document.
 
+    ``added`` tokens get their ids wherever they stand in a text.
+
     A document is its ids and then ``end_id``; null texts are ``end_id`` alone. Documents over ``capacity``
     are cut into full sequences and a rest. Pieces are dealt into random groups by row, so that copies
     don't meet in one, and each group is packed by itself: first fit, larger pieces first. Rows that repeat are
@@ -195,7 +210,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int
     groups = max(1, docs.count() // group_documents)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoding(ranks_path, pattern)
+        encoder = encoding(ranks_path, pattern, added)
         for batch in batches:
             out = []
             for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
@@ -222,7 +237,13 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int
     return common.typed_id(rows.mapInPandas(cut, _PIECES).groupBy("grp").applyInPandas(pack, _PACKED), docs)
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pack_by_byte_bpe(docs: DataFrame) -> DataFrame:
+    """``pack_documents`` by the public byte-level BPE of 50,000 merges: its ranks, and the tokens that its JSON adds."""
     import public_tokenizers
 
-    return pack_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens; nulls, empties, long texts and repeats as ``pack_documents`` states."""
+    return pack_by_byte_bpe(common.read(spark, sf_dir, "documents"))

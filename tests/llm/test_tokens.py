@@ -64,3 +64,20 @@ def test_first_fit_decreasing_is_that_of_a_plain_search():
             bins[b] += sizes[i]
         assert tokens.first_fit_decreasing(sizes, capacity) == want
     assert tokens.first_fit_decreasing([], 10) == []
+
+
+def test_added_tokens_are_found_in_plain_text(spark):
+    slow, added = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "hello <|endoftext|> x", "a<|endoftext|>b <|endoftext|><|endoftext|>\n", "<|endoftext|", "no token", ""]
+    rows = tokens.pack_by_byte_bpe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        ids = np.array([*slow.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], dtype="<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids.tobytes())
+    assert len(rows) == len(texts) and dict(added) == {"<|endoftext|>": 50256}
+
+
+def test_little_is_padded(spark):
+    r = np.random.default_rng(1)
+    df = spark.createDataFrame([(k, "word " * int(n)) for k, n in enumerate(r.integers(1, 3000, 600))], "doc_id long, text string")
+    rows = tokens.pack_by_byte_bpe(df).collect()
+    assert sum(x.length for x in rows) >= 0.98 * tokens.SEQUENCE_TOKENS * len({x.sequence_id for x in rows})
