@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import licenses
 from tessera.llm.licenses import TEMPLATES
 
@@ -38,3 +40,11 @@ def test_anchor_is_the_rarest_word(spark):
     idf = licenses.rarity(df)
     first = licenses.postings(idf)[0]
     assert first["word"] == "under" and idf["under"] > idf["mit"]
+
+
+def test_words_are_the_matches_of_the_pattern(spark):
+    texts = ["".join(map(chr, range(300))), "Ä-B_c  d\x00e\u00a0f\u2028g 🙂h 1.2", "", "!!", None, "é ÉA"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(licenses.licence_words(F.col("text")).alias("w")).collect()
+    for t, r in zip(texts, got):
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        assert r.w == re.findall(licenses.WORD, lower)
