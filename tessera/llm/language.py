@@ -21,8 +21,12 @@ from . import common
 UNDETERMINED = "und"
 HASH_BITS = 13
 NGRAMS = (2, 3)
-#: The training sample's bounds: rows a language, rows in all, and characters of a row from a place that its hash picks.
-SAMPLE_PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000, 2_000
+#: The training sample's bounds: documents a language, and in all. Their whole texts are counted.
+SAMPLE_PER_LANG, SAMPLE_ROWS = 300, 2_000
+#: Characters of a short piece that a document is also learned from, from a third of its length on, as texts may be short.
+PIECE_CHARS = 40
+#: Counts of rows by language are broadcast up to this size.
+BROADCAST_BYTES = 8 << 20
 #: A text whose language is less likely than this, against all others, is ambiguous.
 AMBIGUOUS_BELOW = 0.5
 _BLOCK = 1 << 20
@@ -93,21 +97,20 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 150) -> Model:
-    """Fits one logistic classifier per bit on whole samples and on short pieces of them."""
+def histogram(text: str) -> np.ndarray:
+    """How often each hashed n-gram stands in the lower-cased text."""
+    data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
+    return sum(np.bincount(_grams(data, n), minlength=1 << HASH_BITS) for n in NGRAMS)
+
+
+def train(x: np.ndarray, langs: list[str], rounds: int = 150) -> Model:
+    """Fits one logistic classifier per bit on rows of n-gram counts."""
     names = tuple(sorted(set(langs)))
-    short = [t[len(t) // 3 : len(t) // 3 + 40] for t in texts]
-    data, offsets = _flat([t.lower() for t in texts + short])
-    x = np.zeros((len(offsets) - 1, 1 << HASH_BITS), dtype=np.float32)
-    for i in range(len(x)):
-        piece = data[offsets[i] : offsets[i + 1]]
-        for n in NGRAMS:
-            x[i] += np.bincount(_grams(piece, n), minlength=1 << HASH_BITS).astype(np.float32)
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    x = x / np.maximum(x.sum(axis=1, keepdims=True), 1)
     scale = float(1 / max(np.sqrt((x**2).sum(axis=1).mean()), 1e-9))
     x *= scale
     codes = codewords(len(names))
-    y = codes[[names.index(c) for c in langs * 2]]
+    y = codes[[names.index(c) for c in langs]]
     w, b = np.zeros((x.shape[1], codes.shape[1]), dtype=np.float32), np.zeros(codes.shape[1], dtype=np.float32)
     v, vb = w.copy(), b.copy()
     rate = 4.0
@@ -133,27 +136,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Texts and languages of the bounded training sample, by the hash of doc_id, rows of rare languages first."""
+def sample(docs: DataFrame) -> DataFrame:
+    """lang and text of the bounded training sample: the documents of each language with the lowest hashes of doc_id, one text of each."""
     order = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # rows whose hash is low enough that some SAMPLE_PER_LANG times three are left of each language, then exactly the lowest
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    # documents whose hash is low enough that some SAMPLE_PER_LANG times three are left of each language, then exactly the lowest;
+    # the former where the rows are read, as else most rows might move to the task of one language
+    counts = common.keep(labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")))
+    small = common.fits(counts, BROADCAST_BYTES, F.octet_length("lang") + 16)
     low = F.shiftrightunsigned(order, 11) / float(2**53) * F.col("n") <= 3 * SAMPLE_PER_LANG
-    few = labelled.select("doc_id", "lang").join(counts, "lang").where(low)
-    chosen = few.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "lang").limit(SAMPLE_ROWS)
-    start = F.pmod(order, F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    texts = labelled.select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).orderBy("lang", "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
-    rows = [r for r in rows if any(c.isalpha() for c in r["text"])]
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    few = labelled.select("doc_id", "lang").join(F.broadcast(counts) if small else counts, "lang").where(low).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", "lang").limit(SAMPLE_ROWS).select("doc_id", "lang")
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    return texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """A model of the labelled rows of ``docs`` that aren't held out; None if there are none."""
-    texts, langs = sample(docs)
-    return train(texts, langs) if texts else None
+    """A model of the labelled rows of ``docs`` that aren't held out; None if there are none.
+
+    Texts are counted where they are; the driver gets the counts of n-grams of at most ``SAMPLE_ROWS`` documents.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, at, n = [], [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                start = len(text) // 3
+                for part in (text, text[start : start + PIECE_CHARS]):
+                    found = histogram(part)
+                    langs.append(lang)
+                    at.append(np.flatnonzero(found))
+                    n.append(found[at[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["lang", "at", "n"])
+
+    rows = common.bound_batches(sample(docs)).mapInArrow(counted, "lang string, at array<int>, n array<long>").collect()
+    if not rows:
+        return None
+    rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
+    x = np.zeros((len(rows), 1 << HASH_BITS), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, r["at"]] = r["n"]
+    return train(x, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, columns: list[Column]) -> DataFrame:
@@ -185,5 +209,6 @@ def identify(docs: DataFrame, model: Model | None, columns: list[Column]) -> Dat
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those that aren't held out; edge cases as ``identify`` states."""
     docs = common.read(spark, sf_dir, "documents")
     return identify(docs, fit(docs), [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")])

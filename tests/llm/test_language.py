@@ -60,3 +60,23 @@ def test_few_languages_and_none(corpus, empty):
     assert language.fit(empty) is None
     assert {r.lang_pred for r in language.identify(one, None, [F.col("doc_id")]).collect()} == {"und"}
     assert language.identify(empty, language.fit(one), [F.col("doc_id")]).count() == 0
+
+
+def test_sample_is_of_documents_not_rows(spark):
+    rows = [(k, text("aa", 30, k), "aa") for k in range(40)] + [(k + 100, text("bb", 30, k), "zz") for k in range(40)]
+    rows += [(0, text("aa", 30, 0), "aa")] * 5000 + [(1, f"ka {k}", "aa") for k in range(50)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    held = [sum(spark.range(40).select(language.held_out(F.col("id") + at).alias("h")).toPandas()["h"]) for at in (0, 100)]
+    assert {r.lang: r.n for r in got} == {"aa": 40 - held[0], "zz": 40 - held[1]}
+
+
+def test_texts_between_two_languages_are_ambiguous_and_long_ones_are_read_whole(spark, corpus):
+    model = language.fit(corpus)
+    rows = [(0, text("aa", 400, 1) + " " + text("bb", 20_000, 2)), (1, text("bb", 30, 3))] + [(2 + k, "zq xj wv"[: 2 + k]) for k in range(4)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, [F.col("doc_id")]).collect()}
+    assert got[0].lang_pred == got[1].lang_pred == "bb" and not got[1].ambiguous
+    assert all(r.ambiguous == (r.score < language.AMBIGUOUS_BELOW) for r in got.values())
+    # equal losses: the language that comes first, with an even share
+    even = language.Model(("x", "y"), np.array([[1.0], [-1.0]], np.float32), model.table, np.zeros(1, np.float32), np.ones(1, np.float32), 1.0)
+    best, share = language.decode(even, np.zeros((3, 1)))
+    assert best.tolist() == [0, 0, 0] and np.allclose(share, 0.5)
