@@ -28,6 +28,8 @@ class Rules:
     host_percent: int = 10
     #: If set, a line above ``host_texts`` is also removed where more texts hold it than so many times the root of the host's texts.
     host_roots: int | None = None
+    #: Whether each document counts, or, so that a document's own copies make none of its lines common, each different text.
+    count_copies: bool = False
     #: A document keeps its place if at least this share of its words is left.
     min_left_percent: int = 50
 
@@ -86,8 +88,9 @@ def common_lines(docs: DataFrame, rules: Rules) -> DataFrame:
     lines = lines.where(F.size("w") > 0).select(
         "doc_id", "host", "digest", "line", F.xxhash64(F.lower(F.array_join("w", " "))).alias("h"), F.size("w").cast("long").alias("words")
     )
-    hosts = docs.select(_host().alias("host"), common.digest(F.col("text")).alias("digest")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    held = lines.select("host", "h", "digest").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.host_texts)
+    counted = ["digest", "doc_id"] if rules.count_copies else ["digest"]
+    hosts = docs.select(_host().alias("host"), common.digest(F.col("text")).alias("digest"), "doc_id").select("host", *counted).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    held = lines.select("host", "h", *counted).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.host_texts)
     above = F.col("n") * 100 > F.col("texts") * rules.host_percent
     if rules.host_roots is not None:
         above |= F.col("n") * F.col("n") > F.col("texts") * rules.host_roots**2
@@ -98,8 +101,8 @@ def common_lines(docs: DataFrame, rules: Rules) -> DataFrame:
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs``: its key (doc_id, host, digest), its facts, the lines to remove, the verdict.
 
-    Null and empty texts have no words and fail; exact copies count once in a line's frequency, so
-    copies alone make no line common; rows that repeat get a verdict each; an empty table gives none.
+    Null and empty texts have no words and fail; exact copies count once in a line's frequency unless
+    ``rules.count_copies``, so copies alone make no line common; rows that repeat get a verdict each; an empty table gives none.
     """
     removed = common_lines(docs, rules).groupBy("doc_id", "host", "digest").agg(F.collect_set("line").alias("removed"), F.sum("words").alias("words_removed"))
     # written, as a filter on the verdict would else be put under the scan with all that makes the facts, many times over
@@ -118,7 +121,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def clean(docs: DataFrame, rules: Rules = ANY_SIZE) -> DataFrame:
     """``docs`` without the rejected ones, common lines taken out of the texts of the others.
 
-    All columns stay; ``n_chars``, where there is one, follows a text that changes.
+    All columns stay; ``n_chars``, where there is one, follows a text that changes. Null and empty texts go, as they have no
+    words; rows that repeat stay as often as they were; an empty table gives no rows.
     """
     verdicts = judge(docs, rules).where("kept").groupBy("doc_id", "host", "digest").agg(F.first("removed").alias("removed"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), _host().alias("d_host"), common.digest(F.col("text")).alias("d_digest"))
@@ -133,6 +137,7 @@ def clean(docs: DataFrame, rules: Rules = ANY_SIZE) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's facts and verdict by ``Rules()``; edge cases as ``judge`` states."""
     return judge(common.read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words"
     )

@@ -61,3 +61,10 @@ def test_common_lines_go_from_hosts_of_any_size(spark):
             want[rows[-1][0]] = "\n".join([own] + ["in few enough"] * (k < limit))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r.doc_id: r.text for r in quality.clean(df).collect()} == want
+
+
+def test_copies_count_if_asked_to(spark):
+    rows = [(k, words(40, 77) + "\n" + words(30, 78), "a") for k in range(30)] + [(100 + k, words(40, k), "a") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = lambda copies: {r.doc_id: r.kept for r in quality.judge(df, Rules(host_texts=10, count_copies=copies)).collect()}
+    assert all(of(False).values()) and of(True) == {k: k >= 100 for k, _, _ in rows}
