@@ -121,9 +121,10 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated passages taken out of their texts; a document that has nothing left goes.
+    """``docs`` with the repeated passages taken out of their texts; a document that has nothing left by that goes.
 
-    All columns stay; ``n_chars``, where there is one, follows a text that changes.
+    All columns stay; ``n_chars``, where there is one, follows a text that changes. Null and empty texts stay as they are, and a
+    row without a doc_id comes before all others; rows that repeat are one document and stay; an empty table gives no rows.
     """
     gone = passages(docs)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col("doc_id").alias("d_id"), common.digest(F.col("text")).alias("d_digest"))
@@ -150,6 +151,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated chunks; edge cases as ``dedup_lines`` states."""
     return dedup_lines(common.read(spark, sf_dir, "documents"))
 
 
