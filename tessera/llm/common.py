@@ -33,7 +33,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of rows that go to a Python worker at once, so that very long texts don't make batches of any size.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
