@@ -35,13 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import iterative  # noqa: F401  registers what runs in grouped functions and streams
+    from . import evidence, iterative  # noqa: F401  register the benchmark cells, and what runs in grouped functions and streams
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import iterative  # noqa: F401
+    from . import evidence, iterative  # noqa: F401
 
     return dict(_SQL)
 
@@ -555,15 +555,14 @@ def fisher_z_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "key_audit",
-    """with e as (select i as l_orderkey, unnest(range(1, 4))::int as l_linenumber from (select unnest(range(1, (select count(*) from orders) + 1)) as i)),
+    """with e as (select o_orderkey as l_orderkey, unnest(range(1, 4))::int as l_linenumber from orders),
 s as (select l_orderkey, l_linenumber, count(*) as n, count(distinct l_returnflag || '|' || l_linestatus) as kinds from lineitem group by all)
 select l_orderkey, l_linenumber, case when n is null then 'missing' when e.l_orderkey is null then 'unexpected' when n > 1 and kinds > 1 then 'divergent' when n > 1 then 'duplicate' end as finding
 from e full join s using (l_orderkey, l_linenumber) where n is null or e.l_orderkey is null or n > 1""",
 )
 def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers 1 to 3 of every order are due; what is missing, unexpected or there twice."""
-    n = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
-    due = n.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("l_orderkey")).select("l_orderkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("l_linenumber"))
+    due = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("l_linenumber"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     return folds.key_audit(due, lines, ["l_orderkey", "l_linenumber"], F.concat_ws("|", "l_returnflag", "l_linestatus"))
 
@@ -749,7 +748,18 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.interval(reps, "d", "t_ord")
 
 
-@query("hierarchical_bootstrap")
+_U = "('0x' || substr(sha256({}), 1, 12))::bigint"
+
+
+@query(
+    "hierarchical_bootstrap",
+    POOL + _JUDGED + f""", er as (select fold, ident, abs(prior - dg) as err, row_number() over (partition by fold order by ident) - 1 as idx, count(*) over (partition by fold) as n from ju),
+gr as (select fold, row_number() over (order by fold) - 1 as idx, count(*) over () as n from (select distinct fold from er)),
+ou as (select rep, row_number() over (partition by rep order by gr.idx, gr.fold) as turn, gr.fold from (select rep, {_U.format("'boot-2:' || rep || ':' || idx")} % n as idx from gr, (select unnest(range({_REPS})) as rep)) join gr using (idx)),
+inn as (select rep, turn, fold, {_U.format("'boot-2:' || rep || ':' || turn || ':' || fold || ':' || er.idx")} % n as idx from ou join er using (fold)),
+me as (select rep, round(avg(m), 9) as mean from (select rep, turn, avg(err) as m from inn join er using (fold, idx) group by rep, turn) group by rep)
+select count(mean) as n_valid, round(quantile_cont(mean, 0.025), 6) as lo, round(quantile_cont(mean, 0.975), 6) as hi from me""",
+)
 def hierarchical_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds are drawn, then cells within each drawn fold."""
     return resample.hierarchical(_judged(spark, sf_dir).withColumn("err", F.abs(F.col("prior") - F.col("dg"))), "fold", "err", "ident", _REPS, "boot-2")

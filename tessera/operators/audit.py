@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The limits of so many groups are broadcast; those of more are joined by a shuffle.
+FEW_GROUPS = 10_000
+
+
 def label_buckets(rows: DataFrame, label: Column, *by: str) -> DataFrame:
     """Six buckets that don't overlap and that add up to the rows, by ``by``; a null label is missing."""
     finite = label.isNotNull() & ~F.isnan(label) & (F.abs(label) < float("inf"))
@@ -19,12 +23,42 @@ def label_buckets(rows: DataFrame, label: Column, *by: str) -> DataFrame:
 
 def value_profile(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Counts by sign, moments (population) and exact, interpolated quantiles."""
-    q = F.expr(f"percentile({value}, array(0.05, 0.25, 0.5, 0.75, 0.95))")
     out = rows.groupBy(*by).agg(
         F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("n_positive"), F.count_if(F.col(value) <= 0).alias("n_nonpositive"),
-        F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value), 4).alias("std"), q.alias("q"),
+        F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value), 4).alias("std"),
     )
-    return out.select(*by, "n", "n_positive", "n_nonpositive", "min", "max", "mean", "std", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(("q05", "q25", "median", "q75", "q95"))])
+    shares = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
+    return out.join(quantiles(rows, value, shares, *by), list(by), "left").select(*by, "n", "n_positive", "n_nonpositive", "min", "max", "mean", "std", *[F.round(c, 6).alias(c) for c in shares])
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str, bins: int = 4_096) -> DataFrame:
+    """``by`` and a column for each share: exact quantiles, between two values in proportion, of groups of any size.
+
+    Values are counted in ``bins`` equal steps of their group's range; a running sum over those finds the few bins that hold a
+    wanted place, and only their values, counted first, are ordered. Nulls and NaN are left out.
+    """
+    x = F.col(value).cast("double")
+    there = rows.select(*by, x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    limits = there.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    step = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+    few = not by or limits.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    binned = there.join(F.broadcast(limits) if few else limits, list(by)) if by else there.crossJoin(F.broadcast(limits))
+    # values are counted before they move
+    counted = binned.groupBy(*by, "n", F.when(F.col("high") > F.col("low"), step).otherwise(0).alias("bin"), "x").agg(F.count(F.lit(1)).alias("c"))
+    per_bin = counted.groupBy(*by, "n", "bin").agg(F.sum("c").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*by).orderBy("bin")) - F.col("c")
+    # the places from 0 that a quantile lies between
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.floor((F.col("n") - 1) * q + up).alias("place")) for k, q in shares.items() for up in (0, 1)])
+    located = per_bin.withColumn("before", before).withColumn("w", F.explode(F.array_distinct(wanted)))
+    located = located.where((F.col("w.place") >= F.col("before")) & (F.col("w.place") < F.col("before") + F.col("c"))).select(*by, "bin", "before", "w.name", "w.place")
+    inside = counted.join(located.select(*by, "bin", "before").distinct(), [*by, "bin"])
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("x"))
+    inside = inside.select(*by, "n", "bin", "x", (upto - F.col("c")).alias("from"), upto.alias("to"))
+    found = inside.join(located.drop("before"), [*by, "bin"]).where((F.col("place") >= F.col("from")) & (F.col("place") < F.col("to")))
+    at = lambda k, q: (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    low = lambda k: F.min(F.when(F.col("name") == k, F.col("x")))
+    high = lambda k: F.max(F.when(F.col("name") == k, F.col("x")))
+    return found.groupBy(*by, "n").agg(*[(low(k) + (high(k) - low(k)) * at(k, q)).alias(k) for k, q in shares.items()]).drop("n")
 
 
 def duplicates(rows: DataFrame, ident: str, label: str, samples: int = 20) -> DataFrame:

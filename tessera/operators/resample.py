@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import stats
 
 
-def draws(rows: DataFrame, replicates: int, seed: str, *by: str) -> DataFrame:
-    """(by, rep, idx): for each replicate as many draws with replacement, of row numbers from 0, as the group has rows."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    slots = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select(*by, "n", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), *by, "rep", "slot"), 256), 1, 12), 16, 10).cast("long")
-    return slots.select(*by, "rep", F.pmod(u, F.col("n")).alias("idx"))
-
-
 def numbered(rows: DataFrame, order: str, *by: str) -> DataFrame:
+    """``rows`` with idx, their number from 0 in their group."""
     return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
 
 
+def _drawn(seed: str, *parts: str) -> Column:
+    """A whole number from the SHA-256 of a seed and what it is drawn for."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), *parts), 256), 1, 12), 16, 10).cast("long")
+
+
+def draws(rows: DataFrame, replicates: int, seed: str, *by: str) -> DataFrame:
+    """(by, rep, idx): for each replicate as many draws with replacement, of row numbers from 0, as the group has rows.
+
+    ``rows`` is numbered: each row's own number is the slot that it draws for, so no group is written out in one place.
+    """
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    slots = rows.select(*by, F.col("idx").alias("slot"))
+    slots = (slots.join(sizes, list(by)) if by else slots.crossJoin(F.broadcast(sizes))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return slots.select(*by, "rep", F.pmod(_drawn(seed, *by, "rep", "slot"), F.col("n")).alias("idx"))
+
+
 def replicate(rows: DataFrame, order: str, replicates: int, seed: str, statistics: dict[str, Column], *by: str) -> DataFrame:
     """(by, rep, statistics): each statistic over each resample; one resample feeds them all, which pairs them."""
-    return draws(rows, replicates, seed, *by).join(numbered(rows, order, *by), [*by, "idx"]).groupBy(*by, "rep").agg(*[F.round(c, 9).alias(name) for name, c in statistics.items()])
+    known = numbered(rows, order, *by)
+    return draws(known, replicates, seed, *by).join(known, [*by, "idx"]).groupBy(*by, "rep").agg(*[F.round(c, 9).alias(name) for name, c in statistics.items()])
 
 
 def interval(reps: DataFrame, value: str, *by: str) -> DataFrame:
@@ -40,11 +50,10 @@ def correlation_interval(rows: DataFrame, x: str, y: str, order: str, replicates
 
 def hierarchical(rows: DataFrame, group: str, value: str, order: str, replicates: int, seed: str) -> DataFrame:
     """n_valid, lo, hi of a mean of means: groups are drawn with replacement, then rows anew within each drawn group."""
-    groups = rows.select(group).distinct()
-    outer = draws(groups, replicates, seed).join(numbered(groups, group), "idx").withColumn("turn", F.row_number().over(Window.partitionBy("rep").orderBy("idx", group)))
+    groups, known = numbered(rows.select(group).distinct(), group), numbered(rows, order, group)
+    outer = draws(groups, replicates, seed).join(groups, "idx").withColumn("turn", F.row_number().over(Window.partitionBy("rep").orderBy("idx", group)))
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    slots = outer.join(sizes, group).select("rep", "turn", group, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "turn", group, "slot"), 256), 1, 12), 16, 10).cast("long")
-    inner = slots.select("rep", "turn", group, F.pmod(u, F.col("n")).alias("idx")).join(numbered(rows, order, group), [group, "idx"])
+    slots = outer.select("rep", "turn", group).join(sizes, group).join(known.select(group, F.col("idx").alias("slot")), group)
+    inner = slots.select("rep", "turn", group, F.pmod(_drawn(seed, "rep", "turn", group, "slot"), F.col("n")).alias("idx")).join(known, [group, "idx"])
     means = inner.groupBy("rep", "turn").agg(F.avg(value).alias("m")).groupBy("rep").agg(F.round(F.avg("m"), 9).alias("mean"))
     return interval(means, "mean")

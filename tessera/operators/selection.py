@@ -82,3 +82,10 @@ def ties_at_cut(pool: DataFrame, score: str, budgets: list[int]) -> DataFrame:
     strata = strata.withColumn("before", after - F.col("n"))
     cuts = strata.select("score", "n", "before", F.explode(F.array(*map(F.lit, budgets))).alias("budget")).where("before < budget and budget <= before + n")
     return cuts.select("budget", F.col("score").alias("boundary_score"), F.col("n").alias("stratum_size"), (F.col("budget") - F.col("before")).alias("n_taken"), (F.col("budget") < F.col("before") + F.col("n")).alias("crosses"))
+
+
+def require_untied(pool: DataFrame, score: str, budgets: list[int]) -> DataFrame:
+    """``ties_at_cut``, or an error if the cut of a budget parts equals."""
+    cuts = ties_at_cut(pool, score, budgets)
+    message = F.concat(F.lit("equals at the cut of a budget of "), F.col("budget").cast("string"))
+    return cuts.where(F.assert_true(~F.col("crosses"), message).isNull())

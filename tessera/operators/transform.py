@@ -42,6 +42,18 @@ def coefficients(cells: DataFrame, value: str) -> DataFrame:
     return out.select(*[f"k{k}" for k in range(n)], order.alias("ord"), F.round("x", 9).alias("coef"))
 
 
+def rebuilt(coefs: DataFrame, cells: DataFrame, name: str) -> DataFrame:
+    """cell_code and the value that the coefficients give each of ``cells``: one contraction for each dimension, back from modes to levels."""
+    n, spark = dimensions(cells), cells.sparkSession
+    sizes = coefs.agg(*[(F.max(f"k{k}") + 1).alias(f"q{k}") for k in range(n)]).first()
+    out = coefs.select(*[f"k{k}" for k in range(n)], F.col("coef").alias("x"))
+    for k in range(n):
+        basis = spark.createDataFrame([(j, i, b) for i, row in enumerate(helmert(sizes[k])) for j, b in enumerate(row)], f"d{k} int, k{k} int, b double")
+        done = [f"d{j}" for j in range(k + 1)] + [f"k{j}" for j in range(k + 1, n)]
+        out = out.join(F.broadcast(basis), f"k{k}").groupBy(*done).agg(F.sum(F.col("b") * F.col("x")).alias("x"))
+    return cells.select("cell_code", *[f"d{k}" for k in range(n)]).join(out.withColumnRenamed("x", name), [f"d{k}" for k in range(n)]).select("cell_code", name)
+
+
 def spectrum(coefs: DataFrame) -> DataFrame:
     """ord, n_modes, energy (mean square over cells), share of the variance; the energies of orders over 0 add up to the variance."""
     everything = Window.partitionBy()
@@ -64,15 +76,15 @@ def magnitude_quantiles(coefs: DataFrame) -> DataFrame:
     return coefs.where("ord > 0").groupBy("ord").agg(q.alias("q"), F.max(F.abs("coef")).alias("m")).select("ord", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(("q50", "q90", "q99"))], F.round("m", 6).alias("max"))
 
 
-def order_kernels(left: DataFrame, right: DataFrame, n: int, q: int) -> DataFrame:
+def order_kernels(left: DataFrame, right: DataFrame, n: int, q: int | list[int]) -> DataFrame:
     """u, v, k1, k2: the sums of products of characters of orders 1 and 2, for all pairs of two stated sets of cells.
 
-    A dimension gives (1 if equal else 0) - 1/q; the order-2 kernel is the second elementary symmetric
+    ``q`` is the number of levels of every dimension, or of each. A dimension gives (1 if equal else 0) - 1/q; the order-2 kernel is the second elementary symmetric
     polynomial of those, so no mode is ever written out.
     """
     u = left.select(F.col("cell_code").alias("u"), *[F.col(f"d{k}").alias(f"a{k}") for k in range(n)])
     v = right.select(F.col("cell_code").alias("v"), *[F.col(f"d{k}").alias(f"b{k}") for k in range(n)])
-    z = [F.when(F.col(f"a{k}") == F.col(f"b{k}"), 1.0).otherwise(0.0) - 1.0 / q for k in range(n)]
+    z = [F.when(F.col(f"a{k}") == F.col(f"b{k}"), 1.0).otherwise(0.0) - 1.0 / (q if isinstance(q, int) else q[k]) for k in range(n)]
     first, squares = reduce(add, z), reduce(add, [x * x for x in z])
     return u.crossJoin(v).select("u", "v", F.round(first, 9).alias("k1"), F.round((first * first - squares) / 2, 9).alias("k2"))
 

@@ -6,7 +6,7 @@ from tessera.jobs import catalog
 from tessera.streaming import scores
 
 DATA = "/root/testdata/sf0.001"
-SOME = ("landscape_mixed225", "top_pairwise_contrasts", "notation_parse", "key_audit", "chain_audit", "journal_replay", "raw_status_counts", "spectrum_mixed225")
+SOME = ("landscape_mixed225", "top_pairwise_contrasts", "notation_parse", "key_audit", "chain_audit", "journal_replay", "raw_status_counts", "spectrum_mixed225", "value_profile", "hierarchical_bootstrap", "benchmark_cells", "label_accounting", "method_ranking", "seed_means")
 
 
 def views():
