@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_sharding": sharding.OP1_SQL,
         "op2_line_dedup": lines.OP2_SQL,
         "op5_license_scan": licenses.OP5_SQL,
         "op8_quality_rules": quality.OP8_SQL,

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Within a shard, rows are numbered bucket by bucket, so that no task sees a whole shard.
-SLOT_BUCKETS = 4096
+#: Within a shard, rows are numbered bucket by bucket, ranges of a hash, so that no task sees a whole shard: so many rows a bucket, on average.
+BUCKET_ROWS = 8_192
 _CHILDREN = "map<string,array<struct<node:string,weight:double>>>"
 
 
@@ -83,12 +83,13 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = common.keep(facts.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")))
-    placed = place(place(rows, "doc_id", topology, "shard"), "doc_id", topology.grown(), "grown_shard").withColumn(
-        "bucket", F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32").cast("binary")), 1, 8), 16, 10).cast("long") % SLOT_BUCKETS
-    )
+    # a bucket is a range of hashes, so slots follow the hash however many buckets there are
+    buckets = rows.count() // (shards * BUCKET_ROWS) + 1
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32").cast("binary")), 1, 8), 16, 10).cast("long")
+    placed = place(place(rows, "doc_id", topology, "shard"), "doc_id", topology.grown(), "grown_shard").withColumn("h", h).withColumn("bucket", F.shiftright(F.col("h") * F.lit(buckets), 32))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     slots = placed.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(starts, ["shard", "bucket"])
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
@@ -98,4 +99,36 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7; edge cases as ``shard_documents`` states."""
     return shard_documents(common.read(spark, sf_dir, "documents"))
+
+
+def _descent_sql(topology: Topology, out: str) -> str:
+    """Three steps down a tree: the child with the least draw, by md5 of key and node."""
+    rows = ", ".join(f"('{parent}', '{c['node']}', {c['weight']!r}::double)" for parent, below in topology.children().items() for c in below)
+    draw = "-ln((('0x' || substr(md5(k || '|' || node), 1, 13))::bigint::double + 1.0) / 4503599627370496.0) / weight"
+    steps, at = [f"{out}_t(parent, node, weight) as (values {rows})"], "(select distinct k, '' as here from d)"
+    for level in range(3):
+        steps.append(f"{out}_{level} as (select k, arg_min(node, {draw}) as here from {at} join {out}_t on parent = here group by k)")
+        at = f"{out}_{level}"
+    return ",\n".join(steps)
+
+
+OP1_SQL = f"""
+with poly as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, _: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256))::bigint as i)
+  )
+), d as (
+  select doc_id, coalesce(doc_id::varchar, 'null') as k, hex(encode(coalesce(text, ''))) as b from documents
+), f as (
+  select doc_id, k, length(b) // 2 + 1 as size,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(b) // 2), lambda i: ('0x' || b[2 * i + 1:2 * i + 2])::bigint)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) as text_crc32
+  from d, poly
+), {_descent_sql(Topology.uniform(8), "old")}, {_descent_sql(Topology.uniform(8).grown(), "new")}, p as (
+  select doc_id, size, text_crc32, split_part(o.here, '/s', 2)::int as shard, split_part(n.here, '/s', 2)::int as grown_shard,
+         ('0x' || substr(md5(k || '|' || size || '|' || text_crc32), 1, 8))::bigint as h
+  from f join old_2 o using (k) join new_2 n using (k)
+)
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by h, doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard from p
+"""

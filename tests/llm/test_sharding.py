@@ -39,3 +39,35 @@ def test_movement_is_confined(spark):
     assert all(r.b in (r.a, 8) for r in grown) and abs(sum(r.b == 8 for r in grown) / 4000 - 1 / 9) < 0.03
     none = place(keys, "k", old.reweighted(2, 0.0), "a").where("a = 2").count()
     assert none == 0
+
+
+def test_draws_and_slots_against_plain_python(docs):
+    import hashlib
+    import math
+
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+
+    def descend(key, children):
+        node = ""
+        while node in children:
+            node = min((-math.log((int(md5(f"{key}|{c['node']}")[:13], 16) + 1) / 2**52) / c["weight"], c["node"]) for c in children[node])[1]
+        return int(node.split("/s")[1])
+
+    old, new = Topology.uniform(8).children(), Topology.uniform(8).grown().children()
+    rows = shard_documents(docs).collect()
+    key = lambda r: "null" if r.doc_id is None else str(r.doc_id)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (descend(key(r), old), descend(key(r), new))
+    place_of = lambda r: (int(md5(f"{key(r)}|{r['size']}|{r.text_crc32}")[:8], 16), -1 if r.doc_id is None else r.doc_id, r["size"], r.text_crc32)
+    for s in {r.shard for r in rows}:
+        own = sorted((r for r in rows if r.shard == s), key=lambda r: (place_of(r), r.slot))
+        assert [r.slot for r in own] == list(range(len(own)))
+
+
+def test_slots_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    from tessera.llm import sharding
+
+    df = spark.createDataFrame([(k % 150, f"text {k % 170}") for k in range(600)], "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, shard_documents(df).collect()))
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    assert sorted(map(tuple, shard_documents(df).collect())) == want
