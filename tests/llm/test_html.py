@@ -71,3 +71,31 @@ def test_a_winner_that_holds_a_part_of_the_article_is_widened():
     page = f"<body><div class='post'>{part('first', 20)}{part('second', 60)}</div></body>"
     text = html.main_text(page, "/body/div.post/div.first")[0]
     assert "first" in text and "second" in text
+
+
+def test_known_articles_come_back_whole(spark):
+    """Pages made of known blocks amid menus, notices and comments, nested at random: what is lost of the articles and what is added."""
+    import random
+    from collections import Counter
+
+    r = random.Random(8)
+    say = lambda n, stem: " ".join(f"{stem}{r.randrange(5000)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        host, blocks = k % 4, [say(r.randrange(3, 9), "h")] + [say(r.randrange(15, 60), "t") for _ in range(r.randrange(2, 12))]
+        inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b[: len(b) // 2]}<b>{b[len(b) // 2 :]}</b></p>" for b in blocks[1:])
+        wrap = (f"<article>{inner}</article>", f"<div class='post-{k}'><div class='entry'>{inner}</div></div>", f"<main><div id='c{k}'>{inner}</div></main>", f"<div class='story'>{inner}</div>")[host]
+        around = f"<nav><a href='/'>{say(4, 'n')}</a></nav><div class='cookie-notice'>{say(9, 'n')}</div>{wrap}<div class='sidebar'><p>{say(20, 'n')}</p></div><div class='comments'><p>{say(25, 'n')}</p></div><footer>{say(9, 'n')}</footer>"
+        rows.append((k, f"https://host{host}.example/{k}", f"<html><head><title>x</title><style>a{{}}</style></head><body>{around}<script>var n1;</script></body></html>"))
+        want[k] = Counter(" ".join(blocks).split())
+    got = {x.page_id: Counter(x.text.split()) for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    both = sum(sum((got[k] & want[k]).values()) for k in want)
+    assert both >= 0.99 * sum(sum(w.values()) for w in want.values()) and both >= 0.99 * sum(sum(g.values()) for g in got.values())
+
+
+def test_extra_columns_ties_and_very_long_pages(spark):
+    long = "<article>" + "<p>one more block of the article</p>" * 40_000 + "</article>"
+    even = "<body><div class='a'><p>same words here</p></div><div class='b'><p>same words here</p></div></body>"
+    df = spark.createDataFrame([(1, "http://a/", long, "t", 3), (2, "http://b/", even, None, 1), (2, "http://b/", even, None, 1), (3, None, "", "h", 2)], "page_id long, url string, html string, text string, n_chars int")
+    got = {(x.page_id, x.text) for x in html.extract(df).collect()}
+    assert (1, " ".join(["one more block of the article"] * 40_000)) in got and (3, "") in got and len(got) == 3
