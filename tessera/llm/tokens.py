@@ -105,6 +105,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
             facts = [_summary(encoder, _ids(encoder, t).tobytes()) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], **{c: [f[k] for f in facts] for k, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}})
 
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each text in chunks, in one pass over it."""
+        for batch in batches:
+            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
+                begins = range(0, len(text), chunk_chars)
+                yield pd.DataFrame({"row": row, "doc_id": doc_id, "chunk": range(len(begins)), "text": [text[max(b - overlap_chars, 0) : b + chunk_chars] for b in begins]})
+
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each chunk with the boundaries in the overlap with the one before and with the one after, as places in the text."""
         for batch in batches:
@@ -126,13 +133,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
         group = group.sort_values("chunk")
         return pd.DataFrame([(group["doc_id"].iloc[0], *_summary(encoding(ranks_path, pattern), b"".join(group["ids"])))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    begin = F.greatest(F.col("chunk") * chunk_chars - overlap_chars, F.lit(0))
-    chunks = (
-        long.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int"))).alias("chunk"))
-        .select("row", "doc_id", "chunk", F.substring(F.col("text"), begin + 1, (F.col("chunk") + 1) * chunk_chars - begin).alias("text"))
-        .repartition("row", "chunk")
-    )
+    chunks = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(sliced, "row long, doc_id string, chunk int, text string").repartition("row", "chunk")
     chunks = common.keep(chunks.mapInPandas(outline, "row long, doc_id string, chunk int, text string, head array<int>, tail array<int>"))
     by_text = Window.partitionBy("row").orderBy("chunk")
     cut = F.array_min(F.array_intersect("head", F.lag("tail").over(by_text)))
