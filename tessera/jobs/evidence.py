@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, folds, lattice, recovery, selection, transform
+from ..functions import stats
+from ..operators import audit, benchmark, folds, lattice, recovery, resample, selection, transform
 from ..operators.selection import SEED
 from . import sql as S
-from .catalog import _AUC, BUDGET, INFO, LAND, MAIN, POOL, _main, _metric_grid, _orders_sql, _pool, _terms, query
+from .catalog import _AUC, _REPS, BUDGET, INFO, LAND, MAIN, POOL, _boot_sql, _main, _metric_grid, _orders_sql, _pool, _terms, query
 
 FOLDS, BUDGETS = 5, [12, 24, 48, 96]
 
@@ -205,3 +206,60 @@ def measured_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the candidates of each order have a measure."""
     cells = _main(spark, sf_dir)
     return cells.where("ord between 1 and 3").groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.count("dg").alias("n_measured"), F.round(F.count("dg") / F.count(F.lit(1)), 6).alias("share"))
+
+
+# ---------------------------------------------------------------- evidence over resamples and budgets
+
+
+_EVAL = f"""round({S.pearson('prior_eps', 'truth')}, 6) as r_prior, round({S.pearson('post_eps', 'truth')}, 6) as r_post, round({S.pearson('post_eps', 'truth')} - {S.pearson('prior_eps', 'truth')}, 6) as delta_r,
+round(sum((prior_eps - truth) ** 2), 6) as sse_prior, round(sum((post_eps - truth) ** 2), 6) as sse_post"""
+
+
+@query(
+    "evaluation_record",
+    INFO + f""", reg as (select *, unnest(['all', case when informed then 'informed' end, case when informed and not pinned then 'predicted' end]) as regime from terms),
+u as (select regime, t_ord, post_eps - prior_eps as moved, truth - prior_eps as due, prior_eps, post_eps, truth from reg where regime is not null)
+select regime, t_ord, count(*) as n_terms, {_EVAL}, round({S.pearson('moved', 'due')}, 6) as update_r from u group by regime, t_ord""",
+)
+def evaluation_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms, those that a selection informs, and those that it informs without measuring them whole: prior against posterior."""
+    return benchmark.evaluation(_terms(spark, sf_dir))
+
+
+_GAIN = f"round({S.pearson('post_eps', 'truth')}, 9) as r, round({S.pearson('post_eps', 'truth')} - {S.pearson('prior_eps', 'truth')}, 9) as dr, round(1.0 - sum((post_eps - truth) ** 2) / nullif(sum((prior_eps - truth) ** 2), 0), 9) as gain"
+_INTERVALS = ", ".join(f"count({c}) as n_{c}, round(case when count({c}) >= 3 then quantile_cont({c}, 0.025) end, 6) as {c}_lo, round(case when count({c}) >= 3 then quantile_cont({c}, 0.975) end, 6) as {c}_hi" for c in ("r", "dr", "gain"))
+
+
+@query("joint_bootstrap", _boot_sql(_GAIN) + f" select t_ord, {_INTERVALS} from rs group by t_ord")
+def joint_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals by order of a correlation, its gain over the prior's, and the share of error gone: one set of resamples for all three."""
+    r = lambda c: stats.pearson(F.col(c), F.col("truth"))
+    facts = {"r": r("post_eps"), "dr": r("post_eps") - r("prior_eps"), "gain": stats.sse_gain(F.col("prior_eps"), F.col("post_eps"), F.col("truth"))}
+    return resample.joint_interval(resample.replicate(_terms(spark, sf_dir), "term", _REPS, "boot-1", facts, "t_ord"), list(facts), "t_ord")
+
+
+_DIFF = """, di as (select a.budget, a.held, round(a.macro_spearman - b.macro_spearman, 6) as d from (select * from me where method = 'structural') a join (select * from me where method = 'info') b using (budget, held)),
+ev2 as (select budget, count(d) as n, round(quantile_cont(d, 0.025), 6) as lo, round(quantile_cont(d, 0.5), 6) as mid, round(quantile_cont(d, 0.975), 6) as hi, count(*) filter (d > 0) as n_positive from di group by budget)"""
+
+
+@query("evidence_by_budget", POOL + _METRICS + _DIFF + " select *, case when n = 0 then 'undefined' when lo > 0 then 'first' when hi < 0 then 'second' else 'open' end as verdict from ev2")
+def evidence_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural against informed selection over the folds: percentiles of the difference at each budget, and what they say."""
+    return benchmark.evidence(_metrics(spark, sf_dir), "structural", "info", "macro_spearman")
+
+
+@query(
+    "evidence_status",
+    POOL + _METRICS + _DIFF + """ select count(*) as n_budgets, count(*) filter (mid > 0) as n_for, count(*) filter (mid < 0) as n_against, count(*) filter (mid > 0) > 0 and count(*) filter (mid < 0) > 0 as reversed,
+case when count(*) filter (mid > 0) > 0 and count(*) filter (mid < 0) > 0 then 'mixed' when count(*) filter (mid > 0) >= 2 then 'for' when count(*) filter (mid < 0) >= 2 then 'against' else 'open' end as status from ev2""",
+)
+def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least two budgets agree and none says the opposite."""
+    return benchmark.status(benchmark.evidence(_metrics(spark, sf_dir), "structural", "info", "macro_spearman"))
+
+
+@query("provenance_payload", LAND + """select ord, '{"schema_version":1,"source":"quad5","result":{"ord":' || ord || ',"cells":' || count(*) || ',"rows":' || sum(n_rows)::bigint || '}}' as payload from land group by ord""")
+def provenance_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as JSON with where it is from, its numbers unchanged."""
+    counts = _main(spark, sf_dir).groupBy("ord").agg(F.count(F.lit(1)).alias("cells"), F.sum("n_rows").alias("rows"))
+    return counts.select("ord", audit.payload("quad5", F.struct("ord", "cells", "rows")).alias("payload"))

@@ -134,3 +134,8 @@ def claim(value: Column, kind: str, digits: int = 3, signed: bool = False) -> Co
 def set_digest(ids: Column) -> Column:
     """A digest of a set of ids that doesn't depend on their order: of as many ids as a lattice has, not of a fact table."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(ids)), "\n"), 256)
+
+
+def payload(source: str, result: Column, schema_version: int = 1) -> Column:
+    """A result as JSON, wrapped with its source and the version of this form."""
+    return F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), F.lit(source).alias("source"), result.alias("result")))

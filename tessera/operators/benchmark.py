@@ -141,3 +141,34 @@ def above_rounding(contrasts: DataFrame, largest: DataFrame, eps: str = "eps") -
     bound = F.lit(2.0**-52) * F.col("size") * (F.pow(F.lit(2.0), F.col("t_ord")) - 1)
     return contrasts.crossJoin(F.broadcast(largest)).groupBy("t_ord").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(eps) > bound).alias("n_above"), F.max(F.abs(eps) > bound).alias("signal"))
 
+
+def evaluation(terms: DataFrame) -> DataFrame:
+    """regime, t_ord: correlations and squared errors before and after, and how well updates follow what was due.
+
+    Regimes: all terms, those informed by a selection, and of these those that aren't measured whole.
+    """
+    regimes = F.array_compact(F.array(F.lit("all"), F.when(F.col("informed"), "informed"), F.when(F.expr("informed and not pinned"), "predicted")))
+    rows = terms.withColumn("regime", F.explode(regimes)).withColumn("moved", F.col("post_eps") - F.col("prior_eps")).withColumn("due", F.col("truth") - F.col("prior_eps"))
+    r = lambda x, y: stats.pearson(F.col(x), F.col(y))
+    sse = lambda x: F.round(F.sum(F.pow(F.col(x) - F.col("truth"), 2)), 6)
+    return rows.groupBy("regime", "t_ord").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(r("prior_eps", "truth"), 6).alias("r_prior"), F.round(r("post_eps", "truth"), 6).alias("r_post"),
+        F.round(r("post_eps", "truth") - r("prior_eps", "truth"), 6).alias("delta_r"), sse("prior_eps").alias("sse_prior"), sse("post_eps").alias("sse_post"), F.round(r("moved", "due"), 6).alias("update_r"),
+    )
+
+
+def evidence(metrics: DataFrame, first: str, second: str, value: str) -> DataFrame:
+    """budget: percentiles over the folds of one method's value less another's, positives, and the verdict that they allow."""
+    side = lambda m, name: metrics.where(F.col("method") == m).select("budget", "held", F.col(value).alias(name))
+    d = side(first, "a").join(side(second, "b"), ["budget", "held"]).select("budget", F.round(F.col("a") - F.col("b"), 6).alias("d"))
+    out = d.groupBy("budget").agg(F.count("d").alias("n"), F.expr("percentile(d, array(0.025, 0.5, 0.975))").alias("q"), F.count_if(F.col("d") > 0).alias("n_positive"))
+    out = out.select("budget", "n", *[F.round(F.col("q")[k], 6).alias(c) for k, c in enumerate(("lo", "mid", "hi"))], "n_positive")
+    return out.withColumn("verdict", F.when(F.col("n") == 0, "undefined").when(F.col("lo") > 0, "first").when(F.col("hi") < 0, "second").otherwise("open"))
+
+
+def status(evidence: DataFrame) -> DataFrame:
+    """One row: budgets for and against, whether medians reverse their sign, and the status: two budgets must agree."""
+    for_, against = F.count_if(F.col("mid") > 0), F.count_if(F.col("mid") < 0)
+    turned = (for_ > 0) & (against > 0)
+    said = F.when(turned, "mixed").when(for_ >= 2, "for").when(against >= 2, "against").otherwise("open")
+    return evidence.agg(F.count(F.lit(1)).alias("n_budgets"), for_.alias("n_for"), against.alias("n_against"), turned.alias("reversed"), said.alias("status"))

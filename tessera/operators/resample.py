@@ -43,6 +43,13 @@ def interval(reps: DataFrame, value: str, *by: str) -> DataFrame:
     return out.select(*by, "n_valid", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"))
 
 
+def joint_interval(reps: DataFrame, values: list[str], *by: str) -> DataFrame:
+    """``interval`` of several statistics of the same replicates: by, then n_<value>, <value>_lo and <value>_hi of each."""
+    q = lambda c: F.when(F.count(c) >= 3, F.expr(f"percentile({c}, array(0.025, 0.975))"))
+    out = reps.groupBy(*by).agg(*[x for c in values for x in (F.count(c).alias(f"n_{c}"), q(c).alias(f"{c}_q"))])
+    return out.select(*by, *[x for c in values for x in (f"n_{c}", F.round(F.col(f"{c}_q")[0], 6).alias(f"{c}_lo"), F.round(F.col(f"{c}_q")[1], 6).alias(f"{c}_hi"))])
+
+
 def correlation_interval(rows: DataFrame, x: str, y: str, order: str, replicates: int, seed: str, *by: str) -> DataFrame:
     """The percentile interval of Pearson's r; for Spearman's, give ranks."""
     return interval(replicate(rows, order, replicates, seed, {"r": stats.pearson(F.col(x), F.col(y))}, *by), "r", *by)
