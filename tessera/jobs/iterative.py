@@ -47,30 +47,33 @@ def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learners.per_group(plates.join(best.drop("mse"), "method"), ["method"], fit, "col long, weight double")
 
 
-def _path(solver: str, ratios: list[float]):
+#: A fit whose conditions are broken by more than this share of the penalty hasn't converged.
+GAP = 1e-4
+RATIOS = [0.5, 0.2, 0.1, 0.05]
+
+
+def _path(spark: SparkSession, sf_dir: str, solver: str) -> DataFrame:
+    """method, ratio, support, mse, converged: a fit of its own for each plate and penalty, and whether it reached the minimum."""
     solve = {"lasso": learners.lasso, "fista": learners.fista}[solver]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         x, y, *_ = learners.dense(group)
         x, y = x - x.mean(axis=0), y - y.mean()
-        top = learners.largest_penalty(x, y)
-        out = []
-        for r in ratios:
-            w = solve(x, y, r * top)
-            out.append((r, int((np.abs(w) > 1e-9).sum()), round(float(((y - x @ w) ** 2).mean()), 7)))
-        return pd.DataFrame(out, columns=["ratio", "support", "mse"])
+        penalty = float(group["ratio"].iloc[0]) * learners.largest_penalty(x, y)
+        w = solve(x, y, penalty)
+        return pd.DataFrame({"support": [int((np.abs(w) > 1e-9).sum())], "mse": [round(float(((y - x @ w) ** 2).mean()), 7)], "converged": [learners.optimality_gap(x, y, penalty, w) <= GAP]})
 
-    return fit
+    return learners.per_group(learners.grid(_plates(spark, sf_dir), {"ratio": RATIOS}), ["method", "ratio"], fit, "support int, mse double, converged boolean")
 
 
 @query("lasso_path")
 def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learners.per_group(_plates(spark, sf_dir), ["method"], _path("lasso", [0.5, 0.2, 0.1, 0.05]), "ratio double, support int, mse double")
+    return _path(spark, sf_dir, "lasso")
 
 
 @query("fista_path")
 def fista_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learners.per_group(_plates(spark, sf_dir), ["method"], _path("fista", [0.5, 0.2, 0.1, 0.05]), "ratio double, support int, mse double")
+    return _path(spark, sf_dir, "fista")
 
 
 @query("gcv_blup")

@@ -77,6 +77,13 @@ def largest_penalty(x: np.ndarray, y: np.ndarray) -> float:
     return float(2 * np.abs(x.T @ y).max(initial=0) / max(len(y), 1))
 
 
+def optimality_gap(x: np.ndarray, y: np.ndarray, penalty: float, w: np.ndarray) -> float:
+    """By how much weights break the conditions of the minimum that ``lasso`` and ``fista`` seek, as a share of the penalty."""
+    pull = 2 * x.T @ (y - x @ w) / max(len(y), 1)
+    broken = np.where(w != 0, np.abs(pull - penalty * np.sign(w)), np.maximum(np.abs(pull) - penalty, 0))
+    return float(broken.max(initial=0) / penalty) if penalty > 0 else 0.0
+
+
 def blup(x: np.ndarray, y: np.ndarray, grid: np.ndarray) -> tuple[float, np.ndarray]:
     """Random effects by ridge, the ratio of variances by generalised cross-validation; an infinite one means no effect."""
     u, s, vt = np.linalg.svd(x, full_matrices=False)
@@ -92,12 +99,12 @@ def blup(x: np.ndarray, y: np.ndarray, grid: np.ndarray) -> tuple[float, np.ndar
 
 def d_optimal(z: np.ndarray, ids: list[str], budget: int, noise: float = 1.0) -> list[int]:
     """Rows of largest posterior variance, one after another; each choice is a rank-one update. Ties by id."""
-    left, variance, chosen = z.copy(), (z**2).sum(axis=1), []
+    left, variance, chosen, open_ = z.copy(), (z**2).sum(axis=1), [], np.ones(len(z), dtype=bool)
     for _ in range(min(budget, len(z))):
-        open_ = [i for i in range(len(z)) if i not in set(chosen)]
-        top = max(round(float(variance[i]), 9) for i in open_)
-        pick = min((i for i in open_ if round(float(variance[i]), 9) == top), key=lambda i: ids[i])
+        shown = np.where(open_, np.round(variance, 9), -np.inf)
+        pick = min(np.flatnonzero(shown == shown.max()).tolist(), key=lambda i: ids[i])
         chosen.append(pick)
+        open_[pick] = False
         shared = left @ left[pick]
         left = left - np.outer(shared, left[pick]) * (1 - np.sqrt(noise / (noise + variance[pick]))) / max(variance[pick], 1e-12)
         variance = (left**2).sum(axis=1)

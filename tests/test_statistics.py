@@ -133,3 +133,19 @@ def test_blup_picks_no_effect_for_noise_and_d_optimal_spreads():
         want.append(i)
         cov -= np.outer(cov @ z[i], cov @ z[i]) / (1 + v[i])
     assert order == want
+
+
+def test_a_fit_that_stops_early_shows_its_gap():
+    r = np.random.default_rng(6)
+    x, y = r.standard_normal((60, 20)), r.standard_normal(60)
+    penalty = 0.1 * learners.largest_penalty(x, y)
+    for solve, steps in ((learners.lasso, "sweeps"), (learners.fista, "steps")):
+        assert learners.optimality_gap(x, y, penalty, solve(x, y, penalty)) < 1e-4 < learners.optimality_gap(x, y, penalty, solve(x, y, penalty, **{steps: 1}))
+
+
+def test_solvers_agree_on_every_plate(spark):
+    from tessera.jobs import iterative
+
+    of = lambda f: {(r.method, r.ratio): (r.support, round(r.mse, 5), r.converged) for r in f(spark, "/root/testdata/sf0.01").collect()}
+    lasso, fista = of(iterative.lasso_path), of(iterative.fista_path)
+    assert lasso == fista and all(c for _, _, c in lasso.values()) and len(lasso) == 12
