@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space that ends a word: space and the five ASCII controls from tab to carriage return.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
-_BREAK_CHARS = " \t\n\x0b\x0c\r"
+BREAK_CHARS = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,7 @@ def words(text: Column) -> Column:
 
 def without_breaks(text: Column) -> Column:
     """The text without the characters that end a word."""
-    return F.translate(text, _BREAK_CHARS, "")
+    return F.translate(text, BREAK_CHARS, "")
 
 
 def digest(text: Column) -> Column:

@@ -40,7 +40,7 @@ ANY_SIZE = Rules(host_texts=3, host_roots=5)
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: common.without_breaks(x) != "")
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.BREAK_CHARS)) != "")
 
 
 def _covered(starts: Column, width: int) -> Column:
@@ -63,8 +63,10 @@ def facts(docs: DataFrame) -> DataFrame:
         F.length(common.without_breaks(F.col("text"))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _lines(F.col("text")).alias("lines"),
-        F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))).alias("h"),
+        F.when(F.size("w") >= WINDOW, F.transform("w", lambda w: F.xxhash64(w))).alias("v"),
     )
+    # each word is hashed once, then each window's eight hashes
+    staged = staged.withColumn("h", F.transform(F.sequence(F.lit(0), F.size("v") - WINDOW), lambda i: F.xxhash64(*[F.get("v", i + k) for k in range(WINDOW)])))
     ordered = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))))
     staged = staged.withColumn("o", F.when(F.size(F.array_distinct("h")) < F.size("h"), ordered))
     again = F.filter("o", lambda e, k: (e["x"] == F.get("o", k - 1)["x"]) | (e["x"] == F.get("o", k + 1)["x"]))
