@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, html, language, licenses, lines, minhash, quality, sharding, tokens
+from . import audio, html, language, licenses, lines, manifest, minhash, periods, prefixes, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_main_text": html.op9_main_text,
         "op10_bpe": tokens.op10_bpe,
+        "op11_prefix_counts": prefixes.op11_prefix_counts,
+        "op12_manifest": manifest.op12_manifest,
+        "op13_period_runs": periods.op13_period_runs,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": lines.OP2_SQL,
         "op5_license_scan": licenses.OP5_SQL,
         "op8_quality_rules": quality.OP8_SQL,
+        "op12_manifest": manifest.OP12_SQL,
     }
