@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, lattice, learners, recovery, selection, transform
+from ..operators import design, folds, lattice, learners, recovery, selection, transform
+from ..operators.design import NOISE
 from ..sources.landscapes import landscape
-from .catalog import BUDGET, LAND, MAIN, query
+from . import sql as S
+from .catalog import BUDGET, LAND, MAIN, POOL, query
 
 METHODS = ("info", "structural", "prior")
 
@@ -18,33 +20,49 @@ def _plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(method, row, col, col_ord, y, fold): the long design of the plate of each selection method, with inner folds."""
     cells = landscape(spark, sf_dir, MAIN)
     pool = selection.scored(cells)
-    design = transform.features(cells)
+    features = transform.features(cells)
     out = None
     for method in METHODS:
         chosen = folds.deal(selection.top(pool, method, 2 * BUDGET), 3, "inner-1").select("cell_code", "fold")
         told = recovery.reveal(chosen, cells).join(chosen, "cell_code").select(F.lit(method).alias("method"), F.col("cell_code").alias("row"), F.col("dg").alias("y"), "fold")
-        plate = told.join(design, "row")
+        plate = told.join(features, "row")
         out = plate if out is None else out.unionByName(plate)
     return out
 
 
+MAINS, PAIRS = [0.1, 1.0, 10.0], [1.0, 10.0, 100.0]
+
+
 @query("ridge_cv")
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learners.ridge_cv(_plates(spark, sf_dir), ["method"], [0.1, 1.0, 10.0], [1.0, 10.0, 100.0])
+    """The penalties of each plate with the least error over its inner folds."""
+    return design.cross_validated(_plates(spark, sf_dir), ["method"], MAINS, PAIRS)
 
 
 @query("ridge_weights")
 def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of each plate at the penalties that cross-validation picks."""
     plates = _plates(spark, sf_dir)
-    best = learners.ridge_cv(plates, ["method"], [0.1, 1.0, 10.0], [1.0, 10.0, 100.0])
+    return design.weights(plates, ["method"], design.cross_validated(plates, ["method"], MAINS, PAIRS))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y, _, cols, order = learners.dense(group)
-        b, w = learners.ridge(x, y, np.where(order == 1, group["alpha_main"].iloc[0], group["alpha_pair"].iloc[0]))
-        return pd.DataFrame({"col": np.append(cols, -1), "weight": np.round(np.append(w, b), 9)})
 
-    return learners.per_group(plates.join(best.drop("mse"), "method"), ["method"], fit, "col long, weight double")
+def _plate_sql() -> str:
+    """``pl``: the long design of the plates of ``_plates``."""
+    tops = [S.top(score, 2 * BUDGET, name=f"sel_{score}") for score in METHODS]
+    union = " union all ".join(f"select '{score}' as method, cell_code from sel_{score}" for score in METHODS)
+    return S.with_(S.land(MAIN), S.POOL, *tops, f"""pl as (
+  select method, term as row, member as col, dg as y from ({union}) u join land l using (cell_code) join clo on term = l.cell_code where m_ord <= 2 and dg is not null
+)""")
+
+
+@query(
+    "plate_gram",
+    _plate_sql() + """, e as (select method, row, col as c, 1.0::double as x from pl union all select distinct method, row, -1, 1.0::double from pl union all select distinct method, row, -2, y from pl)
+select method, a.c as i, b.c as j, round(sum(a.x * b.x), 6) as g from e a join e b using (method, row) where a.c <= b.c group by method, a.c, b.c""",
+)
+def plate_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal equations of each plate: all that a solver sees of it."""
+    return design.gram(_plates(spark, sf_dir), ["method"]).withColumn("g", F.round("g", 6))
 
 
 #: A fit whose conditions are broken by more than this share of the penalty hasn't converged.
@@ -81,30 +99,40 @@ def gcv_blup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random effects of the prior's error on each plate: the chosen ratio and the effects."""
     cells = landscape(spark, sf_dir, MAIN).select(F.col("cell_code").alias("row"), "prior")
     plates = _plates(spark, sf_dir).join(cells, "row").withColumn("y", F.col("y") - F.col("prior"))
-    ratios = np.append(np.logspace(-3, 4, 11), np.inf)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x, y, _, cols, _ = learners.dense(group)
-        ratio, w = learners.blup(x, y, ratios)
-        return pd.DataFrame({"ratio": None if np.isinf(ratio) else round(ratio, 9), "col": cols, "effect": np.round(w, 9)})
-
-    return learners.per_group(plates, ["method"], fit, "ratio double, col long, effect double")
+    return design.random_effects(plates, ["method"], np.append(np.logspace(-3, 4, 11), np.inf))
+
+
+#: The orders of modes that a design is to tell: all but the highest, or single dimensions and pairs.
+TARGETS = {"all": (1, 2, 3), "pairs": (1, 2)}
+
+
+def _d_optimal_sql() -> str:
+    def kernel(orders: tuple[int, ...], digits: str = "p.d{k}") -> str:
+        same = [f"(case when d{k} = {digits.format(k=k)} then 1.0 else 0.0 end - 1.0 / q{k})" for k in range(4)]
+        return " + ".join(" * ".join(same[k] if m >> k & 1 else f"(1.0 / q{k})" for k in range(4)) for m in range(1, 16) if m.bit_count() in orders)
+
+    of = lambda digits="p.d{k}": "case target " + " ".join(f"when '{t}' then {kernel(o, digits)}" for t, o in TARGETS.items()) + " end"
+    order = "open desc, round(greatest(var, 0), 9) desc, ident"
+    columns = "target, cell_code, ident, d0, d1, d2, d3, q0, q1, q2, q3"
+    return POOL.replace("with ", "with recursive ", 1) + f""", q as (select max(d0) + 1 as q0, max(d1) + 1 as q1, max(d2) + 1 as q2, max(d3) + 1 as q3 from land), s0 as (
+  select *, {of("d{k}")} as var from (select unnest({list(TARGETS)}) as target, cell_code, ident, d0, d1, d2, d3, q.* from pool, q)
+), st(step, {columns}, u, var, open) as (
+  select 0, {columns}, []::double[], var::double, true from s0
+  union all
+  select step + 1, {columns}, list_append(u, c / sqrt({NOISE} + greatest(p.var, 0))), var - (c / sqrt({NOISE} + greatest(p.var, 0))) ** 2, open and cell_code <> p.cell_code from (
+    select *, ({of()}) - case when len(u) = 0 then 0.0 else list_inner_product(u, p.u) end as c from (
+      select *, first_value(struct_pack(cell_code := cell_code, d0 := d0, d1 := d1, d2 := d2, d3 := d3, u := u, var := var)) over (partition by target order by {order}) as p from st where step < {BUDGET // 2}
+    )
+  )
+)
+select target, (step + 1)::int as rank, cell_code, round(greatest(var, 0), 6) as variance from st where step < {BUDGET // 2} and open qualify row_number() over (partition by target, step order by {order}) = 1"""
 
 
-@query("d_optimal")
+@query("d_optimal", _d_optimal_sql())
 def d_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plate for each order of candidates, chosen one by one for the most uncertain cell."""
+    """One design over the candidates of all orders for each target: always the cell whose value is least certain."""
     cells = landscape(spark, sf_dir, MAIN)
-    pool = selection.scored(cells).select(F.col("cell_code").alias("row"), "ident", "ord")
-    design = transform.features(cells).join(pool, "row").withColumn("y", F.lit(0.0))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        x, _, rows, _, order = learners.dense(group)
-        ids = group.drop_duplicates("row").set_index("row")["ident"].loc[rows].tolist()
-        picks = learners.d_optimal(x / np.where(order == 1, 1.0, 2.0), ids, BUDGET // 2)
-        return pd.DataFrame({"rank": np.arange(1, len(picks) + 1), "cell_code": rows[picks]})
-
-    return learners.per_group(design, ["ord"], choose, "rank int, cell_code long")
+    return design.d_optimal(cells, lattice.candidates(cells, 3).join(selection.scored(cells).select("cell_code", "ident"), "cell_code"), BUDGET // 2, TARGETS)
 
 
 @query(

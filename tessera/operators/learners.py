@@ -84,33 +84,6 @@ def optimality_gap(x: np.ndarray, y: np.ndarray, penalty: float, w: np.ndarray)
     return float(broken.max(initial=0) / penalty) if penalty > 0 else 0.0
 
 
-def blup(x: np.ndarray, y: np.ndarray, grid: np.ndarray) -> tuple[float, np.ndarray]:
-    """Random effects by ridge, the ratio of variances by generalised cross-validation; an infinite one means no effect."""
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    uy, best = u.T @ y, (np.inf, np.inf, np.zeros(x.shape[1]))
-    for ratio in grid:
-        shrink = np.zeros(len(s)) if np.isinf(ratio) else s**2 / (s**2 + ratio)
-        error = ((y - u @ (shrink * uy)) ** 2).sum() * len(y) / max(len(y) - shrink.sum(), 1e-9) ** 2
-        if error < best[0] - 1e-15:
-            weights = np.zeros(x.shape[1]) if np.isinf(ratio) else vt.T @ (np.divide(s, s**2 + ratio) * uy)
-            best = (error, float(ratio), weights)
-    return best[1], best[2]
-
-
-def d_optimal(z: np.ndarray, ids: list[str], budget: int, noise: float = 1.0) -> list[int]:
-    """Rows of largest posterior variance, one after another; each choice is a rank-one update. Ties by id."""
-    left, variance, chosen, open_ = z.copy(), (z**2).sum(axis=1), [], np.ones(len(z), dtype=bool)
-    for _ in range(min(budget, len(z))):
-        shown = np.where(open_, np.round(variance, 9), -np.inf)
-        pick = min(np.flatnonzero(shown == shown.max()).tolist(), key=lambda i: ids[i])
-        chosen.append(pick)
-        open_[pick] = False
-        shared = left @ left[pick]
-        left = left - np.outer(shared, left[pick]) * (1 - np.sqrt(noise / (noise + variance[pick]))) / max(variance[pick], 1e-12)
-        variance = (left**2).sum(axis=1)
-    return chosen
-
-
 def per_group(long: DataFrame, by: list[str], fit: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``fit`` applied to the rows of each group; the group's keys are kept in front of what it gives."""
 
@@ -130,21 +103,3 @@ def grid(long: DataFrame, values: dict[str, list[float]]) -> DataFrame:
     for name, choices in values.items():
         out = out.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in choices])))
     return out
-
-
-def ridge_cv(design: DataFrame, by: list[str], mains: list[float], pairs: list[float]) -> DataFrame:
-    """``by``, alpha_main, alpha_pair, mse: the best penalties by held-out error over ``fold``; equal errors go to more shrinkage."""
-
-    def held_out(group: pd.DataFrame) -> pd.DataFrame:
-        x, y, rows, _, order = dense(group)
-        fold = group.drop_duplicates("row").set_index("row")["fold"].loc[rows].to_numpy()
-        penalty = np.where(order == 1, group["alpha_main"].iloc[0], group["alpha_pair"].iloc[0])
-        errors = []
-        for f in np.unique(fold):
-            b, w = ridge(x[fold != f], y[fold != f], penalty)
-            errors.append((y[fold == f] - b - x[fold == f] @ w) ** 2)
-        return pd.DataFrame({"mse": [round(float(np.concatenate(errors).mean()), 9)]})
-
-    tried = per_group(grid(design, {"alpha_main": mains, "alpha_pair": pairs}), [*by, "alpha_main", "alpha_pair"], held_out, "mse double")
-    best = F.struct("mse", -F.col("alpha_main"), -F.col("alpha_pair"))
-    return tried.groupBy(*by).agg(F.min_by(F.struct("alpha_main", "alpha_pair", "mse"), best).alias("b")).select(*by, "b.*")

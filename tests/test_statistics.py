@@ -116,25 +116,6 @@ def test_lasso_solvers_agree_and_meet_the_optimality_conditions():
         assert (np.abs(pull) <= share * top + 1e-6).all() and np.allclose(pull[a != 0], share * top * np.sign(a[a != 0]), atol=1e-5)
 
 
-def test_blup_picks_no_effect_for_noise_and_d_optimal_spreads():
-    r = np.random.default_rng(6)
-    x = (r.random((40, 6)) < 0.5).astype(float)
-    ratio, w = learners.blup(x, x @ np.arange(6.0), np.array([1e-6, 1.0, np.inf]))
-    assert ratio == 1e-6 and np.allclose(w, np.arange(6.0), atol=1e-3)
-    z = np.eye(4)[[0, 0, 1, 2, 3]] * np.array([3, 3, 2, 1, 1])[:, None]
-    assert learners.d_optimal(z, ["b", "a", "c", "e", "d"], 4) == [1, 2, 4, 3]
-    # a rank-one update is what the covariance's own gives
-    z = r.standard_normal((7, 3))
-    order = learners.d_optimal(z, list("abcdefg"), 3)
-    cov, want = np.eye(3), []
-    for _ in range(3):
-        v = [-1 if i in want else z[i] @ cov @ z[i] for i in range(7)]
-        i = int(np.argmax(v))
-        want.append(i)
-        cov -= np.outer(cov @ z[i], cov @ z[i]) / (1 + v[i])
-    assert order == want
-
-
 def test_a_fit_that_stops_early_shows_its_gap():
     r = np.random.default_rng(6)
     x, y = r.standard_normal((60, 20)), r.standard_normal(60)
