@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import design, folds, lattice, learners, recovery, selection, transform
+from ..operators import design, folds, lattice, learners, recovery, runs, selection, transform
 from ..operators.design import NOISE
 from ..sources.landscapes import landscape
 from . import sql as S
@@ -148,6 +148,47 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.replay(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", {"": ["user", "system"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]})
 
 
+#: A whole run: two design steps, two cells of one fold each, and a second attempt after one that is abandoned.
+PROTOCOL = runs.Protocol(design_steps=2, cells=2, folds=1)
+SCRIPT = ("prepared", "attempt_started", "design", "design", "selection", "fit", "cell", "attempt_started", "fit", "cell", "attempt_completed", "report")
+
+
+def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_custkey, seq, kind: the orders of a customer as a run's journal, some steps out of their turn and some lost on the way."""
+    from pyspark.sql import Window
+
+    from ..sources.tables import table
+
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", seq.alias("seq"))
+    turn = F.when(F.col("o_orderkey") % 23 == 0, F.col("seq") + 1).when(F.col("o_orderkey") % 29 == 0, F.col("seq") * 5 + 3).otherwise(F.col("seq"))
+    return rows.where(F.col("o_orderkey") % 41 != 5).select("o_custkey", F.col("seq").cast("long").alias("seq"), F.get(F.array(*map(F.lit, SCRIPT)), (turn % len(SCRIPT)).cast("int")).alias("kind"))
+
+
+def _runs_sql() -> str:
+    fields = ", ".join(runs.FIELDS)
+    changed = ", ".join(f"case when err <> '' then {f} else {c} end" for f, c in runs.changes_sql().items())
+    return f"""with recursive nu as (
+  select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as seq from orders
+), ev as (
+  select o_custkey, seq, {list(SCRIPT)}[(case when o_orderkey % 23 = 0 then seq + 1 when o_orderkey % 29 = 0 then seq * 5 + 3 else seq end) % {len(SCRIPT)} + 1] as kind from nu where o_orderkey % 41 <> 5
+), st(o_custkey, step, {fields}, error) as (
+  select distinct o_custkey, 0, {", ".join("0" for _ in runs.FIELDS)}, '' from ev
+  union all
+  select o_custkey, step + 1, {changed}, err from (select st.*, kind, {runs.error_sql(PROTOCOL)} as err from st join ev using (o_custkey) where ev.seq = st.step and error = '')
+), n as (
+  select o_custkey, count(*) as n_events, count(*) filter (seq <> place) as n_waiting from (select *, row_number() over (partition by o_custkey order by seq) - 1 as place from ev) group by o_custkey
+)
+select o_custkey, n_events::int as n_events, {fields}, error, n_waiting::int as n_waiting, case when error <> '' then 'failed' when reported = 1 then 'reported' when n_waiting > 0 then 'waiting' else 'open' end as status
+from (select * from st qualify row_number() over (partition by o_custkey order by step desc) = 1) join n using (o_custkey)"""
+
+
+@query("run_states", _runs_sql())
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every run after its whole journal."""
+    return runs.replay(journals(spark, sf_dir), "o_custkey", PROTOCOL)
+
+
 @query("incremental_scores", LAND + "select cell_code, prior as score from land where ord between 1 and 3 and cell_code % 3 <> 0")
 def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of candidates that the store lacks, as a batch of a stream would add them."""
