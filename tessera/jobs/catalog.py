@@ -35,13 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import evidence, iterative, records  # noqa: F401  register the benchmark cells, and what runs in grouped functions and streams
+    from . import evidence, evidence_trail, iterative, records  # noqa: F401  register the benchmark cells, and what runs in grouped functions and streams
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import evidence, iterative, records  # noqa: F401
+    from . import evidence, evidence_trail, iterative, records  # noqa: F401
 
     return dict(_SQL)
 
@@ -478,14 +478,23 @@ def ndcg_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.ndcg(folds.relevance(_judged(spark, sf_dir), "dg", "fold"), "prior", "ident", 10, "fold")
 
 
+_TOP_JUDGED = POOL + _JUDGED.replace("select cell_code, ident,", "select cell_code, p.d0, p.d1, p.d2, p.d3, ident,") + """, pl as (select *, row_number() over (partition by fold order by prior desc, ident) as mine, row_number() over (partition by fold order by dg desc, ident) as best from ju), dv as (
+  select a.fold, round(avg((a.d0 <> b.d0)::int + (a.d1 <> b.d1)::int + (a.d2 <> b.d2)::int + (a.d3 <> b.d3)::int), 6) as mean_distance from pl a join pl b on a.fold = b.fold and a.cell_code <> b.cell_code where a.mine <= 10 and b.mine <= 10 group by a.fold
+)"""
+
+
 @query(
     "top_metrics_by_fold",
-    POOL + _JUDGED + """, pl as (select *, row_number() over (partition by fold order by prior desc, ident) as mine, row_number() over (partition by fold order by dg desc, ident) as best from ju)
+    _TOP_JUDGED + """
 select fold, round(max(dg) filter (mine <= 10), 6) as best_in_top, round(max(dg) - max(dg) filter (mine <= 10), 6) as regret, round(count(*) filter (mine <= 10 and best <= 10) / 10, 6) as hit_rate,
-       round(count(*) filter (mine <= 10 and dg > 0) / count(*) filter (mine <= 10), 6) as positive_fraction from pl group by fold""",
+       round(count(*) filter (mine <= 10 and dg > 0) / count(*) filter (mine <= 10), 6) as positive_fraction, count(*) filter (mine <= 10) as n_top, count(distinct (d0 > 0)::int + (d1 > 0)::int + (d2 > 0)::int + (d3 > 0)::int) filter (mine <= 10) as n_orders,
+       count(distinct ident) filter (mine <= 10) as n_ids, any_value(mean_distance) as mean_distance from pl join dv using (fold) group by fold""",
 )
 def top_metrics_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.top_metrics(_judged(spark, sf_dir), "prior", "dg", "ident", 10, "fold")
+    rows = _judged(spark, sf_dir)
+    digits = [f"d{k}" for k in range(4)]
+    unlike = folds.top_diversity(rows.join(_main(spark, sf_dir).select("cell_code", *digits), "cell_code"), "prior", "ident", 10, digits, "fold")
+    return folds.top_metrics(rows, "prior", "dg", "ident", 10, "fold").join(unlike, "fold")
 
 
 def _orders_sql(by: str) -> str:
@@ -862,13 +871,12 @@ def corrected_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", F.round("m", 6).alias("mean"), F.round(se, 6).alias("se"), F.round(F.col("m") - t * se, 6).alias("lo"), F.round(F.col("m") + t * se, 6).alias("hi"))
 
 
-@query(
-    "claim_audit",
-    """with d as (select doc_id, regexp_extract(text, '(Licensed under|Released under|licensed under)[^\\n]*', 0) as line, text from documents where contains(text, 'icensed under') or contains(text, 'eleased under'))
-select doc_id, line, contains(text, 'All rights reserved') as forbidden, sha256(line) as digest from d where line <> ''""",
-)
+_CLAIM = r"(Licensed under|Released under|licensed under)[^\n]*"
+
+
+@query("claim_audit", f"select doc_id, line, contains(text, 'All rights reserved') as forbidden, sha256(line) as digest from (select doc_id, text, unnest(regexp_extract_all(text, '{_CLAIM}', 0)) as line from documents)")
 def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that claim something, whether a literal that may not stand beside them does, and their digest."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").contains("icensed under") | F.col("text").contains("eleased under"))
-    line = F.regexp_extract("text", r"(Licensed under|Released under|licensed under)[^\n]*", 0)
-    return docs.select("doc_id", line.alias("line"), F.col("text").contains("All rights reserved").alias("forbidden")).where("line <> ''").withColumn("digest", F.sha2("line", 256))
+    """Every line that claims something, whether a literal that may not stand beside it does, and its digest."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(_CLAIM))
+    lines = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_CLAIM), 0)).alias("line"), F.col("text").contains("All rights reserved").alias("forbidden"))
+    return lines.withColumn("digest", F.sha2("line", 256))

@@ -46,6 +46,23 @@ def top_metrics(rows: DataFrame, pred: str, label: str, ident: str, k: int, *by:
     )
 
 
+def top_diversity(rows: DataFrame, pred: str, ident: str, k: int, digits: list[str], *by: str) -> DataFrame:
+    """``by``, n_top, n_orders, n_ids, mean_distance: how unlike each other the predicted top ``k`` are.
+
+    Orders are the numbers of digits that aren't zero; the distance of two is the number of digits in which they differ, its mean null below two.
+    Only the top ``k`` of a group meet.
+    """
+    mine = Window.partitionBy(*by).orderBy(F.desc(pred), ident)
+    order = sum(((F.col(d) > 0).cast("int") for d in digits), F.lit(0))
+    top = rows.withColumn("mine", F.row_number().over(mine)).where(F.col("mine") <= k).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_top"), F.count_distinct(order).alias("n_orders"), F.count_distinct(ident).alias("n_ids"), F.collect_list(F.array(*[F.col(d).cast("int") for d in digits])).alias("cells")
+    )
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+    # each pair is met from both sides, and a cell is at no distance from itself
+    total = F.aggregate(F.transform("cells", lambda a: F.aggregate(F.transform("cells", lambda b: apart(a, b)), F.lit(0), lambda s, x: s + x)), F.lit(0), lambda s, x: s + x)
+    return top.select(*by, "n_top", "n_orders", "n_ids", F.round(F.try_divide(total, F.col("n_top") * (F.col("n_top") - 1)), 6).alias("mean_distance"))
+
+
 def budget_auc(rows: DataFrame, value: str, budget: str, *by: str) -> DataFrame:
     """``by``, auc: the normalised trapezoid of a metric over log2(budget), for equally spaced grids; null if a value is."""
     w = Window.partitionBy(*by).orderBy(budget)
