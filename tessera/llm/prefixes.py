@@ -10,6 +10,7 @@ how many any truncation of it has, and where to cut it for a budget, without enc
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from .tokens import added_tokens
 #: The query's limit.
 LIMIT_TOKENS = 512
 #: Counts of pre-tokens that a worker remembers, and the longest of them; others are found anew each time.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 #: Up to here all libraries know the same letters and numbers; texts beyond are cut by the tokenizer's own pre-tokenizer.
 _SETTLED = "Ԁ"
 
@@ -36,6 +37,19 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _spelled_out(pattern: str) -> str:
+    """A pattern for characters below ``_SETTLED`` with its classes of letters, numbers and white space as lists of ranges."""
+    import regex
+
+    below = "".join(map(chr, range(ord(_SETTLED))))
+    for name, other in ((r"\p{L}", None), (r"\p{N}", None), (r"\s", r"\S")):
+        ranges = "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(name + "+", below))
+        # inside a class of characters the ranges are a part of it
+        pattern = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(name, ranges), pattern).replace(name, f"[{ranges}]")
+        pattern = pattern.replace(other, f"[^{ranges}]") if other else pattern
+    return pattern
+
+
 class PrefixCounter:
     """Counts of all prefixes of texts by a byte-level BPE tokenizer's JSON."""
 
@@ -50,6 +64,7 @@ class PrefixCounter:
         tokenizer = Tokenizer.from_file(tokenizer_json)
         self._model, self._own_cut = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
         self._cut, self._letters = regex.compile(pattern), _alphabet()
+        self._fast_cut = re.compile(_spelled_out(pattern)).findall
         added = sorted((token for token, _ in added_tokens(tokenizer_json)), key=len, reverse=True)
         self._added = regex.compile("|".join(map(regex.escape, added))) if added else None
         #: White space of several characters that doesn't end a text.
@@ -59,9 +74,12 @@ class PrefixCounter:
         self._tokens: list[str] = ["", *told["model"]["vocab"]]
         self._number = {token: k for k, token in enumerate(self._tokens)}
         self._longest = max(map(len, self._tokens))
+        self._of_id = {i: self._number[token] for token, i in told["model"]["vocab"].items()}
+        self._after: dict[int, tuple[list[int], list[int]]] = {}
         self._inside: dict[int, list[tuple[int, int]]] = {}
         self._pairs: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether the joint text of two tokens (0: none to the left) is encoded as just these."""
@@ -77,7 +95,7 @@ class PrefixCounter:
 
     def _numbers(self, s: str) -> list[int]:
         """The tokens of one pre-token, by its characters in the vocabulary's alphabet."""
-        return [self._number[t.value] for t in self._model.tokenize(s)]
+        return [self._of_id[t.id] for t in self._model.tokenize(s)]
 
     def _parts(self, token: int) -> list[tuple[int, int]]:
         """Of each prefix of a token that is shorter than it: its last token and that one's length."""
@@ -94,24 +112,38 @@ class PrefixCounter:
                 return token
         raise AssertionError(f"no encoding of {s[:j]!r}")
 
+    def _step(self, s: str, token: int, j: int, last: list[int], count: list[int]) -> bool:
+        """Adds the prefixes that end in or with a token at ``j``; whether they follow from it and the token before it alone."""
+        alone = True
+        # a prefix that ends in a token ends as that part of it does, if that fits what stands before
+        for end, size in self._inside.get(token) or self._parts(token):
+            j += 1
+            if not self._fits(last[j - size], end):
+                alone = False
+                end = self._other(s, j, last)
+                size = len(self._tokens[end])
+            last.append(end)
+            count.append(count[j - size] + 1)
+        last.append(token)
+        count.append(count[j + 1 - len(self._tokens[token])] + 1)
+        return alone
+
     def _dynamic(self, piece: str) -> list[int]:
         """For each prefix of one pre-token, by its characters, the number of its tokens."""
         s = piece.encode().decode("latin-1").translate(self._letters)
-        last, count, j, pairs = [0], [0], 0, self._pairs
+        last, count, before, known = [0], [0], 0, self._after
         for token in self._numbers(s):
-            # a prefix that ends in a token ends as that part of it does, if that fits what stands before
-            for end, size in self._inside.get(token) or self._parts(token):
-                j += 1
-                before = last[j - size]
-                fits = pairs.get(before << 32 | end)
-                if not (self._fits(before, end) if fits is None else fits):
-                    end = self._other(s, j, last)
-                    size = len(self._tokens[end])
-                last.append(end)
-                count.append(count[j - size] + 1)
-            j += 1
-            last.append(token)
-            count.append(count[j - len(self._tokens[token])] + 1)
+            j = len(count) - 1
+            step = known.get(before << 32 | token)
+            if step is not None:
+                last += step[0]
+                done = count[j]
+                count += [done + n for n in step[1]]
+            elif self._step(s, token, j, last, count):
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[before << 32 | token] = last[j + 1 :], [n - count[j] for n in count[j + 1 :]]
+            before = token
         if len(piece) == len(s):
             return count[1:]
         place, out = 0, []
@@ -122,18 +154,24 @@ class PrefixCounter:
 
     def _piece(self, piece: str) -> list[int]:
         out = self._dynamic(piece)
-        if self._contraction.fullmatch(piece):
+        if piece[0] == "'" and self._contraction.fullmatch(piece):
             # a contraction's prefix isn't one, and falls into two pre-tokens
             out[1] = self._dynamic(piece[0])[-1] + self._dynamic(piece[1])[-1]
         return out
 
     def _remember(self, piece: str) -> bytes | None:
-        """The counts of a pre-token's prefixes, a byte each, kept for the next time; None where it is too long for that."""
-        if len(piece) > REMEMBERED_CHARS or max(found := self._piece(piece)) > 255:
-            return None
+        """The counts of a pre-token's prefixes, a byte each, kept for the next time; None where it is too long for that.
+
+        When so many are kept they are set aside, and taken up again one by one as they recur; what doesn't is forgotten next time.
+        """
+        counts = self._older.get(piece)
+        if counts is None:
+            if len(piece) > REMEMBERED_CHARS or max(found := self._piece(piece)) > 255:
+                return None
+            counts = bytes(found)
         if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        self._known[piece] = counts = bytes(found)
+            self._older, self._known = self._known, {}
+        self._known[piece] = counts
         return counts
 
     def _plain(self, text: str) -> np.ndarray:
@@ -142,7 +180,7 @@ class PrefixCounter:
         if not text:
             return out
         if max(text) < _SETTLED:
-            pieces = self._cut.findall(text)
+            pieces = self._fast_cut(text)
         else:
             pieces = [text[a:b] for _, (a, b) in self._own_cut(text)]
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
