@@ -20,7 +20,7 @@ from . import common
 
 #: Elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object canvas audio video select".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,6 +36,8 @@ _TERMS = (
 _PLACES = r"(?:left|right|top|bottom|upper|lower|primary|secondary|main|site|page|global|first|last|inner|outer|slot|unit|list|area|box|bar|block|section|container|wrapper|wrap|links?|buttons?|icons?|items?|posts?|articles?|stories|form|\d+)"
 #: Whole names, and compounds of such names with places and parts; what holds a state (no-sidebar, comments-open) isn't one.
 UNWANTED = re.compile(rf"(?:^|\s)(?:{_PLACES}[_-])*{_TERMS}(?:[_-](?:{_TERMS}|{_PLACES}|content|body|text))*(?:$|\s)", re.IGNORECASE)
+#: Names that, alone, are as well those of what an article is about: inside one, what they name goes only if it is mainly links and forms.
+AMBIGUOUS = re.compile(r"^(?:share|sharing|social|menu|navigation|banner|notices?|promo(?:tion)?s?|related|recommended|subscribe|signup|consent)$", re.IGNORECASE)
 #: What readers wrote is read only where there is hardly anything else.
 _REPLIES = re.compile(r"comment|disqus|replies|respond", re.IGNORECASE)
 MOST, NEARLY_ALL = 0.5, 0.9
@@ -46,8 +48,8 @@ WEIGHTS = {"article": 1.5, "main": 1.3, "body": 0.7}
 DECAY, LEVELS = 0.8, 5
 #: A page votes for the paths that score at least this share of its best one.
 VOTE_SHARE = 0.5
-#: A winning path beside the page's own best must hold this share of what that holds, and nearly all if that is long; else what holds both is read.
-LEAST_SHARE, LONG_TEXT = 0.25, 200
+#: A winning path that is named as an article's, beside a best one that isn't, must hold this share of what that holds; any other nearly all. Else what holds both is read.
+LEAST_SHARE = 0.25
 #: Winning paths are broadcast up to this size; beyond it the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
@@ -74,17 +76,22 @@ def _step(tag: str, names: str) -> str:
 
 
 def parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
-    """The page. An element that its names leave out is read if it holds most of the text in paragraphs; ``spared`` are the places of such."""
+    """The page. An element that its names leave out is read if it holds most of the text in paragraphs; ``spared`` are the places of such.
+
+    Inside an article, one of ambiguous names is read if it holds more text in paragraphs than in links and forms.
+    """
     page = Page()
-    # tag, container, left out, in a link, place of the element whose names leave this out (or -1), in a paragraph
-    stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, -1, False)]
-    shown, held, share = 0, {}, {}
+    # tag, container, left out, in a link, place of the element whose names leave this out (or -1), in a paragraph, the same place in its forms too
+    stack: list[tuple[str, int, bool, bool, int, bool, int]] = [("", 0, False, False, -1, False, -1)]
+    shown, held, share, other, unsure = 0, {}, {}, {}, set()
     at, n = 0, len(html)
     runs = page.runs
     while at < n:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
-        tag, box, out, link, by, para = stack[-1]
+        tag, box, out, link, by, para, near = stack[-1]
+        if text and near >= 0 and (link or by < 0):
+            other[near] = other.get(near, 0) + len(text.strip())
         if text and not out:
             runs.append((box, unescape(text) if "&" in text else text, link))
         if text and para and not link:
@@ -122,13 +129,16 @@ def parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
                     break
         if rest.endswith("/") and name not in BLOCK:
             continue
-        tag, box, out, link, by, para = stack[-1]
-        names, hidden, named, replies = "", False, False, False
+        tag, box, out, link, by, para, near = stack[-1]
+        inside = any(t[0] in ("article", "main") for t in stack)
+        names, hidden, named, replies, doubt = "", False, False, False, inside
         if rest.strip(" /"):
             for a in _ATTRIBUTE.finditer(rest):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
-                    named |= name not in ("html", "body", "article", "main") and bool(UNWANTED.search(value))
+                    if name not in ("html", "body", "article", "main") and UNWANTED.search(value):
+                        named = True
+                        doubt &= all(AMBIGUOUS.match(x) for x in value.split() if UNWANTED.search(x))
                     replies |= bool(_REPLIES.search(value))
                     names += " " + value if key == "class" else ""
                 elif key == "role":
@@ -139,12 +149,14 @@ def parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
                     hidden |= value.lower() == "true"
                 else:
                     hidden |= "display:none" in value.replace(" ", "").lower()
-        hidden |= name in OUTSIDE or (name == "header" and not any(t[0] in ("article", "main") for t in stack))
+        hidden |= name in OUTSIDE or (name == "header" and not inside)
         if hidden:
             by = -1
         elif named and not out and m.start() not in spared:
-            hidden, by = True, m.start()
+            hidden, by, near = True, m.start(), m.start()
             share[by] = NEARLY_ALL if replies else MOST
+            if doubt:
+                unsure.add(by)
         out = out or hidden
         if name in CONTAINERS and not out:
             weight = WEIGHTS.get(name, 1.25 if WANTED.search(names) else 1.0)
@@ -152,9 +164,9 @@ def parse(html: str, spared: frozenset[int] = frozenset()) -> Page:
             page.parents.append(box)
             page.weights.append(weight)
             box = len(page.paths) - 1
-        stack.append((name, box, out, link or name == "a", by, para or name == "p"))
+        stack.append((name, box, out, link or name == "a", by, para or name == "p", near))
     total = shown + sum(held.values())
-    most = {place for place, n in held.items() if n > share[place] * total}
+    most = {place for place, n in held.items() if n > share[place] * total or (place in unsure and n > other.get(place, 0))}
     return parse(html, spared | most) if most else page
 
 
@@ -231,6 +243,12 @@ def climbed(page: Page, path: str) -> str:
     return best
 
 
+def _wanted(path: str) -> bool:
+    """Whether the innermost container of a path is named as one of an article."""
+    tag, *names = path.rsplit("/", 1)[-1].split(".")
+    return tag in ("article", "main") or any(WANTED.search(n) for n in names)
+
+
 def main_text(html: str, winner: str | None) -> tuple[str, str]:
     """The text and the path that it was read by."""
     page = parse(html)
@@ -241,9 +259,9 @@ def main_text(html: str, winner: str | None) -> tuple[str, str]:
     if winner is not None and winner != own and winner in page.paths:
         agreed, best = len(text_under(page, winner)), len(text_under(page, own))
         nested = own in _upwards(page, winner) or winner in _upwards(page, own)
-        if agreed >= NEARLY_ALL * best or (not nested and best < LONG_TEXT and agreed >= LEAST_SHARE * best):
+        if agreed >= NEARLY_ALL * best or (not nested and _wanted(winner) and not _wanted(own) and agreed >= LEAST_SHARE * best):
             read = winner
-        elif nested or best >= LONG_TEXT:
+        else:
             over = set(_upwards(page, winner))
             read = next(p for p in _upwards(page, own) if p in over)
     read = climbed(page, read)
@@ -301,4 +319,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; nulls, empties, long pages, ties and repeats as ``extract`` states."""
     return extract(common.read(spark, sf_dir, "pages"))

@@ -99,3 +99,29 @@ def test_extra_columns_ties_and_very_long_pages(spark):
     df = spark.createDataFrame([(1, "http://a/", long, "t", 3), (2, "http://b/", even, None, 1), (2, "http://b/", even, None, 1), (3, None, "", "h", 2)], "page_id long, url string, html string, text string, n_chars int")
     got = {(x.page_id, x.text) for x in html.extract(df).collect()}
     assert (1, " ".join(["one more block of the article"] * 40_000)) in got and (3, "") in got and len(got) == 3
+
+
+def test_a_short_article_beside_the_host_s_winner_comes_back_whole():
+    own = "the whole of a short article, which stands in a container of its own and not in the one that the other pages of this host have it in"
+    page = f"<body><div class='x'><p>{own}</p></div><div class='y'><p>a few words that stand where others do</p></div></body>"
+    assert own in html.main_text(page, "/body/div.y")[0]
+    for n in (1, 2, 5, 40):
+        text = " ".join([own] * n)
+        assert text in html.main_text(page.replace(own, text), "/body/div.y")[0]
+
+
+def test_formulas_are_text():
+    page = "<article><p>the area is <math><mi>r</mi><mo>*</mo><mi>r</mi><annotation>r^2</annotation></math> times that of a square</p></article>"
+    assert html.main_text(page, None)[0] == "the area is r*r times that of a square"
+
+
+def test_ambiguous_names_inside_an_article_are_judged_by_what_they_hold():
+    for names in ("share lead", "social", "menu", "related", "notice"):
+        for tag in ("article", "main"):
+            page = f"<{tag}><p>before</p><div class='{names}'><p>a paragraph of the article</p></div><p>after</p></{tag}>"
+            assert html.main_text(page, None)[0] == "before a paragraph of the article after", names
+            links = f"<{tag}><p>before it there is text</p><div class='{names}'><a href='x'>one link</a> <a href='y'>and another</a></div><p>after</p></{tag}>"
+            assert html.main_text(links, None)[0] == "before it there is text after", names
+            form = f"<{tag}><p>before it there is text</p><div class='{names}'><p>say</p><form>your name and address <input></form></div><p>after</p></{tag}>"
+            assert html.main_text(form, None)[0] == "before it there is text after", names
+    assert html.main_text("<article><p>a text that is longer than the other</p><div class='sidebar social'><p>aside</p></div></article>", None)[0] == "a text that is longer than the other"
