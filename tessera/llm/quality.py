@@ -20,25 +20,23 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """A line is removed in a host where more texts hold it than both limits, ``host_texts`` and ``host_percent``, allow."""
+    """A line is removed in a host where more than ``host_texts`` texts hold it, and more than ``host_percent`` of the host's or ``host_roots`` times their root.
+
+    So a few texts are a floor in hosts of any size; above it counts a share, or, in large hosts, a number that grows more slowly.
+    """
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    host_texts: int = 50
+    host_texts: int = 3
     host_percent: int = 10
-    #: If set, a line above ``host_texts`` is also removed where more texts hold it than so many times the root of the host's texts.
-    host_roots: int | None = None
+    #: None leaves the share alone.
+    host_roots: int | None = 5
     #: Whether each document counts, or, so that a document's own copies make none of its lines common, each different text.
     count_copies: bool = False
     #: A document keeps its place if at least this share of its words is left.
     min_left_percent: int = 50
 
 
-#: For hosts of any size: a floor of a few texts, and above it a tenth of the host or, in large ones, a count that grows slower.
-#: ``OP8_SQL`` states the limits of ``Rules()``, so ``op8_quality_rules`` keeps those.
-ANY_SIZE = Rules(host_texts=3, host_roots=5)
-
-
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(common.BREAK_CHARS)) != "")
 
@@ -120,7 +118,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, rules: Rules = ANY_SIZE) -> DataFrame:
+def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` without the rejected ones, common lines taken out of the texts of the others.
 
     All columns stay; ``n_chars``, where there is one, follows a text that changes. Null and empty texts go, as they have no
@@ -166,7 +164,7 @@ with d as (
   select host, count(*) as texts from (select distinct host, t, absent from d) group by host
 ), held as (
   select host, l from (select host, l, count(*) as n from (select distinct host, l, t, absent from line) group by host, l) join hosts using (host)
-  where n > 50 and n * 100 > texts * 10
+  where n > 3 and (n * 100 > texts * 10 or n * n > texts * 25)
 ), gone as (
   select r, sum(n) as n from line join held using (host, l) group by r
 ), f as (

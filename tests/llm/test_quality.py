@@ -68,3 +68,14 @@ def test_copies_count_if_asked_to(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     of = lambda copies: {r.doc_id: r.kept for r in quality.judge(df, Rules(host_texts=10, count_copies=copies)).collect()}
     assert all(of(False).values()) and of(True) == {k: k >= 100 for k, _, _ in rows}
+
+
+def test_the_query_s_own_rules_reject_a_depleted_document(spark, tmp_path):
+    """Texts that are mostly a shared line go, whose base facts are good; those with more of their own stay."""
+    shared = words(30, 500)
+    rows = [(k, shared + "\n" + words(10, k), "a", "x") for k in range(6)] + [(100 + k, shared + "\n" + words(60, 100 + k), "a", "x") for k in range(6)] + [(200 + k, words(40, 200 + k), "a", "x") for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in quality.op8_quality_rules(spark, str(tmp_path)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {k: r.kept for k, r in got.items()} == {k: k >= 100 for k, *_ in rows}
+    assert {k: r.n_common_words for k, r in got.items()} == {k: 30 if k < 200 else 0 for k, *_ in rows}
