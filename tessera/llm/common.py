@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +20,59 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where none is named, a local
-    master gets a temporary folder; a cluster must name one that all its machines share.
+    Where none is named, a local master gets a temporary folder; a cluster must name one that all its machines share.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark remove the shuffle files of each query that runs in here as soon as it ends, and puts the session's setting back.
+
+    For loops of many small queries, whose files would otherwise stay on the executors' disks until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, *superseded: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: later queries read the columns that they need.
+
+    Tables that were ``written`` before and that nothing reads any more, now that this one is there, are removed.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.parquet(path)
+    for old in superseded:
+        for folder in {f.rpartition("/")[0] for f in old.inputFiles()}:
+            if "/table-" in folder:
+                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of rows that go to a Python worker at once, so that very long texts don't make batches of any size.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -14,14 +14,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round points the larger neighbours of a node at its least neighbour, then the smaller ones; the
     number of rounds grows with the logarithm of the size, and each round's edges are at most as many as the last's.
     """
-    edges = common.keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = common.written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
-        edges = common.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = common.written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 

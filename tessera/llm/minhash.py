@@ -229,10 +229,10 @@ def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in band_keys(*_column(batch, "text"), params)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), *lists], names=["node", "keys", "sig"])
 
-    nodes = common.keep(_texts(docs).mapInArrow(bands, "node binary, keys array<long>, sig array<long>").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    nodes = common.written(_texts(docs).mapInArrow(bands, "node binary, keys array<long>, sig array<long>").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     placed = nodes.select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0")
     full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return nodes.select("node", "sig"), common.keep(placed.join(full, "key").select("key", "band", "node", "n"))
+    return nodes.select("node", "sig"), common.written(placed.join(full, "key").select("key", "band", "node", "n"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     Pairs are dealt by a block of some ``BLOCK_V`` of the v and one of some ``BLOCK_U`` of the u, so that a text moves once to
     each block that it has a pair in, and neither a text with many pairs nor many pairs among few texts meet in one task.
     """
-    pairs = common.keep(pairs)
+    pairs = common.written(pairs)
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sizes = pairs.agg(F.approx_count_distinct("u").alias("u"), F.approx_count_distinct("v").alias("v")).first()
     small = common.fits(wanted, BROADCAST_BYTES, 64)
@@ -269,7 +269,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append(1.0 - similarity(own, known[other]))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(out, pa.float64())], names=["u", "v", "distance"])
 
-    return common.keep(rows.mapInArrow(compare, "u binary, v binary, distance double"))
+    return common.written(rows.mapInArrow(compare, "u binary, v binary, distance double"), pairs)
 
 
 def _among(comps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -286,11 +286,11 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
     near = 1.0 - params.threshold + 1e-12
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<binary>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.lit(True).alias("open"))
-    comps, left = None, live.count()
+    comps, left, start = None, live.count(), live
     buckets = live.select("key").distinct().count()
     for _ in range(params.rounds):
         head = live.where("open").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
-        live = common.keep(live.join(head, "key", "left"))
+        before, live = live, common.written(live.join(head, "key", "left"))
         asked = live.where("head is not null and comp <> head_comp").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
         tested = _verified(docs, asked)
         links = tested.where(F.col("distance") <= near).select("u", "v")
@@ -300,12 +300,12 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
             comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(links))
         told = live.join(tested.select(F.col("u").alias("node"), F.col("v").alias("head"), "distance"), ["node", "head"], "left")
         told = told.select("key", "band", "node", "degree", F.when(F.col("head").isNull(), F.col("heads")).otherwise(F.concat("heads", F.array("head"))).alias("heads"), F.when(F.col("head").isNull(), F.col("dist")).otherwise(F.concat("dist", F.array("distance"))).alias("dist"))
-        told = common.keep(_among(comps, told))
+        told = common.written(_among(comps, told), live, tested, *([before] if before is not start else []))
         # of each bucket with several components: the components of its heads, the first head's first
         of_heads = told.where(F.array_contains("heads", F.col("node"))).groupBy("key").agg(F.collect_set("comp").alias("seen"), F.max(F.when(F.col("node") == F.get("heads", F.lit(0)), F.col("comp"))).alias("first"))
         several = told.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
         live = told.join(several, "key", "left_semi").join(of_heads, "key")
-        live = common.keep(live.select("key", "band", "node", "degree", "comp", "heads", "dist", (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")))
+        live = common.written(live.select("key", "band", "node", "degree", "comp", "heads", "dist", (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")), told)
         now = live.where("open").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("buckets")).first()
         # links, not only the heads' own places, must have settled a tenth
         if not now["rows"] or left - buckets - now["rows"] < 0.1 * left:
@@ -316,24 +316,25 @@ def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFr
 
 def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(node, comp): the texts, by their md5, that have links, and the component that the links join them to."""
-    near = 1.0 - params.threshold + 1e-12
-    nodes, members = _buckets(docs, params)
-    comps, live = _settle(docs, members, params)
-    # a head has met all others
-    live = live.where(~F.array_contains("heads", F.col("node"))).join(nodes, "node")
-    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "comp", "dist", "sig")]
-    apart, others = live.where(~F.col("main")).select("key", "band", *side("u")), live.select(F.col("key").alias("v_key"), *side("v"), "main")
-    # a pair whose components differ has a side that isn't in the bucket's main component
-    once = (F.col("u_comp") != F.col("v_comp")) & (F.col("main") | (F.col("u_node") < F.col("v_node")))
-    excluded = F.exists(F.zip_with("u_dist", "v_dist", lambda x, y: F.abs(x - y) > near), lambda far: F.coalesce(far, F.lit(False)))
-    before = lambda c: F.slice(c, F.lit(1), F.col("band"))
-    earlier = F.exists(F.zip_with(before("u_sig"), before("v_sig"), lambda x, y: x == y), lambda same: same)
-    rest = apart.join(others, (F.col("key") == F.col("v_key")) & once & ~excluded & (agreeing("u_sig", "v_sig", params.size) >= params.least_equal) & ~earlier)
-    rest = _verified(docs, rest.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct())
-    late = rest.where(F.col("distance") <= near).select("u", "v")
-    if not late.take(1):
-        return comps
-    return components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(late))
+    with common.tidy(docs.sparkSession):
+        near = 1.0 - params.threshold + 1e-12
+        nodes, members = _buckets(docs, params)
+        comps, live = _settle(docs, members, params)
+        # a head has met all others
+        live = live.where(~F.array_contains("heads", F.col("node"))).join(nodes, "node")
+        side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "comp", "dist", "sig")]
+        apart, others = live.where(~F.col("main")).select("key", "band", *side("u")), live.select(F.col("key").alias("v_key"), *side("v"), "main")
+        # a pair whose components differ has a side that isn't in the bucket's main component
+        once = (F.col("u_comp") != F.col("v_comp")) & (F.col("main") | (F.col("u_node") < F.col("v_node")))
+        excluded = F.exists(F.zip_with("u_dist", "v_dist", lambda x, y: F.abs(x - y) > near), lambda far: F.coalesce(far, F.lit(False)))
+        before = lambda c: F.slice(c, F.lit(1), F.col("band"))
+        earlier = F.exists(F.zip_with(before("u_sig"), before("v_sig"), lambda x, y: x == y), lambda same: same)
+        rest = apart.join(others, (F.col("key") == F.col("v_key")) & once & ~excluded & (agreeing("u_sig", "v_sig", params.size) >= params.least_equal) & ~earlier)
+        rest = _verified(docs, rest.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct())
+        late = rest.where(F.col("distance") <= near).select("u", "v")
+        if not late.take(1):
+            return comps
+        return components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(late))
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -346,7 +347,7 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
     comps = linked(docs, params)
     rows = docs.select("doc_id", _node().alias("node"))
     named = rows.join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp"))
-    named = common.keep(named)
+    named = common.written(named)
     ids = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(ids, "comp", "left").select(
         "doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "node", "comp"
@@ -363,4 +364,5 @@ def representatives(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class and how many documents it has; nulls, empties, long texts, ties and repeats as ``classes`` states."""
     return classes(common.read(spark, sf_dir, "documents")).drop("node", "comp")
