@@ -66,3 +66,9 @@ def cell_hash(n_dims: int) -> Column:
 def stable_order(seed: str, ident: Column) -> Column:
     """A pseudo-random order of ids that any engine with SHA-256 repeats."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), ident), 256)
+
+
+def order_label(order: Column) -> Column:
+    """The name of an order."""
+    named = F.when(order == 0, "reference").when(order == 1, "single").when(order == 2, "pairwise").when(order == 3, "third-order")
+    return named.otherwise(F.concat(order.cast("string"), F.lit("th-order")))

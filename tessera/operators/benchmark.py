@@ -5,6 +5,8 @@ All folds, methods and budgets are rows of one plan: a fold is a column, never a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,11 +118,35 @@ def seeded(pool: DataFrame, budget: int, seeds: int, salt: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(order, "ident"))).where(F.col("rank") <= budget).select("seed", "cell_code")
 
 
+def arm_pairs(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """a_arm, b_arm, seed, delta of two tables of arms (arm, kind of seed, seed): by seed where both arms' seeds are of one kind, else each of one with each of the other.
+
+    An arm of kind ``none`` has one row. All joins are on the arms or on arms and seeds; only the arms themselves, a row each, are crossed.
+    """
+    left, right = (x.select(F.col("arm").alias(f"{n}_arm"), F.col("kind").alias(f"{n}_kind"), F.col("seed").alias(f"{n}_seed"), F.col(value).alias(n)) for x, n in ((a, "a"), (b, "b")))
+    arms = left.select("a_arm", "a_kind").distinct().crossJoin(right.select("b_arm", "b_kind").distinct())
+    alike = (F.col("a_kind") == F.col("b_kind")) & (F.col("a_kind") != "none")
+    paired = left.join(arms.where(alike), ["a_arm", "a_kind"]).join(right.withColumnRenamed("b_seed", "a_seed"), ["b_arm", "b_kind", "a_seed"]).select("a_arm", "b_arm", F.col("a_seed").alias("seed"), "a", "b")
+    crossed = left.join(arms.where(~alike), ["a_arm", "a_kind"]).join(right, ["b_arm", "b_kind"]).select("a_arm", "b_arm", F.when(F.col("a_kind") == "none", F.col("b_seed")).when(F.col("b_kind") == "none", F.col("a_seed")).alias("seed"), "a", "b")
+    return paired.unionByName(crossed).select("a_arm", "b_arm", "seed", F.round(F.col("a") - F.col("b"), 9).alias("delta"))
+
+
 def realised_pairs(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """a_arm, b_arm, seed, delta of two arms' values (arm, seed): by seed if both have one, else each of one with the other's only one."""
-    left, right = (x.select(F.col("arm").alias(f"{n}_arm"), F.col("seed").alias(f"{n}_seed"), F.col(value).alias(n)) for x, n in ((a, "a"), (b, "b")))
-    same = F.col("a_seed").isNull() | F.col("b_seed").isNull() | (F.col("a_seed") == F.col("b_seed"))
-    return left.join(F.broadcast(right), same).select("a_arm", "b_arm", F.coalesce("a_seed", "b_seed").alias("seed"), F.round(F.col("a") - F.col("b"), 9).alias("delta"))
+    kind = F.when(F.col("seed").isNull(), "none").otherwise("seed")
+    return arm_pairs(a.withColumn("kind", kind), b.withColumn("kind", kind), value)
+
+
+def schedule(rows: DataFrame, factors: list[str]) -> DataFrame:
+    """place, block, the factors, n, missing: every combination of the values that each factor shows, in the factors' order; ``block`` numbers the first factor's.
+
+    Keys are those of the product, whatever occurs together; n counts the rows that do. One row a combination of few levels.
+    """
+    due = reduce(lambda x, y: x.crossJoin(y), [rows.select(f).distinct() for f in factors])
+    seen = rows.groupBy(*factors).agg(F.count(F.lit(1)).alias("seen"))
+    everything = Window.orderBy(*factors)
+    out = due.join(seen, factors, "left").withColumn("place", F.row_number().over(everything)).withColumn("block", F.dense_rank().over(Window.orderBy(factors[0])))
+    return out.select("place", "block", *factors, F.coalesce("seen", F.lit(0).cast("long")).alias("n"), F.col("seen").isNull().alias("missing"))
 
 
 def variability(pairs: DataFrame) -> DataFrame:

@@ -89,3 +89,9 @@ def require_untied(pool: DataFrame, score: str, budgets: list[int]) -> DataFrame
     cuts = ties_at_cut(pool, score, budgets)
     message = F.concat(F.lit("equals at the cut of a budget of "), F.col("budget").cast("string"))
     return cuts.where(F.assert_true(~F.col("crosses"), message).isNull())
+
+
+def stable_prefix(rows: DataFrame, score: str, order: str, k: int, *by: str) -> DataFrame:
+    """``rows`` with place, the first ``k`` of each group: best score first, equal ones in the order that they have."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -70,6 +70,26 @@ def effective_counts(coefs: DataFrame, shares: list[float]) -> DataFrame:
     return rows.select(F.explode(F.array(*map(F.lit, shares))).alias("share"), "upto", "total", "rn").where("upto >= share * total - 1e-12").groupBy("share").agg(F.min("rn").alias("n"))
 
 
+#: A landscape's energies differ by rounding alone up to this share; a variance below the second is none.
+SAME, FLAT = 1e-6, 1e-12
+
+
+def diagnosis(coefs: DataFrame, cells: DataFrame, value: str) -> DataFrame:
+    """One row: cells, mean square, variance, whether values and modes hold the same energy, the variance's shares up to orders 1 and 2, whether it is flat.
+
+    Of a flat landscape the shares are null.
+    """
+    square = lambda upto: F.sum(F.when(F.col("ord").between(1, upto), F.pow("coef", 2)))
+    e = coefs.agg(F.sum(F.pow("coef", 2)).alias("e"), F.coalesce(F.sum(F.when(F.col("ord") > 0, F.pow("coef", 2))), F.lit(0.0)).alias("v"), square(1).alias("one"), square(2).alias("two"))
+    s = cells.agg(F.sum(F.pow(value, 2)).alias("s"), F.count(F.lit(1)).alias("n_cells"), F.var_pop(value).alias("var"))
+    flat = F.col("v") / F.col("n_cells") <= FLAT
+    share = lambda c: F.when(~flat, F.round(F.try_divide(F.col(c), F.col("v")), 6))
+    return e.crossJoin(s).select(
+        "n_cells", F.round(F.col("e") / F.col("n_cells"), 6).alias("mean_square"), F.round("var", 6).alias("variance"), (F.abs(F.col("e") - F.col("s")) <= SAME * F.col("s")).alias("whole"),
+        share("one").alias("share_1"), share("two").alias("share_2"), flat.alias("flat"),
+    )
+
+
 def magnitude_quantiles(coefs: DataFrame) -> DataFrame:
     """ord, q50, q90, q99, max of the absolute coefficients."""
     q = F.expr("percentile(abs(coef), array(0.5, 0.9, 0.99))")
