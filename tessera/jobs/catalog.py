@@ -35,13 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import evidence, evidence_trail, intervals, iterative, records  # noqa: F401  register the benchmark cells, and what runs in grouped functions and streams
+    from . import evidence, evidence_trail, intervals, iterative, records, stored  # noqa: F401  register the benchmark cells, and what runs in grouped functions and streams
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import evidence, evidence_trail, intervals, iterative, records  # noqa: F401
+    from . import evidence, evidence_trail, intervals, iterative, records, stored  # noqa: F401
 
     return dict(_SQL)
 
