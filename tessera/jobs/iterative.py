@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import design, folds, lattice, learners, recovery, runs, selection, transform
+from ..operators import design, folds, lattice, learners, runs, selection, transform
 from ..operators.design import NOISE
 from ..sources.landscapes import landscape
 from . import sql as S
@@ -17,17 +17,14 @@ METHODS = ("info", "structural", "prior")
 
 
 def _plates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(method, row, col, col_ord, y, fold): the long design of the plate of each selection method, with inner folds."""
+    """(method, row, col, col_ord, y, fold): the long design of the plate of each selection method, with inner folds.
+
+    The pool is read once and ranked by every method in one window.
+    """
     cells = landscape(spark, sf_dir, MAIN)
-    pool = selection.scored(cells)
-    features = transform.features(cells)
-    out = None
-    for method in METHODS:
-        chosen = folds.deal(selection.top(pool, method, 2 * BUDGET), 3, "inner-1").select("cell_code", "fold")
-        told = recovery.reveal(chosen, cells).join(chosen, "cell_code").select(F.lit(method).alias("method"), F.col("cell_code").alias("row"), F.col("dg").alias("y"), "fold")
-        plate = told.join(features, "row")
-        out = plate if out is None else out.unionByName(plate)
-    return out
+    chosen = folds.deal(selection.tops(selection.scored(cells), METHODS, 2 * BUDGET), 3, "inner-1", "method").select("method", "cell_code", "fold")
+    told = chosen.join(cells.select("cell_code", F.col("dg").alias("y")).where("y is not null"), "cell_code")
+    return told.withColumnRenamed("cell_code", "row").join(transform.features(cells), "row").select("method", "row", "col", "col_ord", "y", "fold")
 
 
 MAINS, PAIRS = [0.1, 1.0, 10.0], [1.0, 10.0, 100.0]

@@ -38,6 +38,13 @@ def top(pool: DataFrame, score: str, budget: int, seed: str = SEED) -> DataFrame
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*_order(score, seed))))
 
 
+def tops(pool: DataFrame, scores: tuple[str, ...], budget: int, seed: str = SEED) -> DataFrame:
+    """``top`` by each of several scores at once, with ``method``, the score's name: one pass over the pool and one window."""
+    told = F.array(*[F.struct(F.lit(s).alias("method"), F.col(s).cast("double").alias("by")) for s in scores])
+    rows = pool.withColumn("m", F.explode(told)).select("*", "m.*").drop("m")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(*_order("by", seed)))).where(F.col("rank") <= budget).drop("by")
+
+
 def varied(pool: DataFrame, score: str) -> DataFrame:
     """``pool``, or an error if its score is the same everywhere and so orders nothing."""
     spread = pool.agg((F.max(F.round(score, 12)) > F.min(F.round(score, 12))).alias("ok"))
