@@ -9,13 +9,15 @@ from the buckets are verified by the exact probability Jaccard, and linked texts
 No bucket is expanded into all pairs. Its members are compared with one representative, a head, the one that
 meets most others over all buckets; then, as long as that settles some, those in other components with a new
 head. One minus the probability Jaccard is a metric, so afterwards only pairs remain that lie in different
-components and whose distances to no head differ by more than a link's. Of those, each in the first bucket that its
-two texts share, the pairs whose signatures agree nearly often enough are compared one by one.
+components and whose distances to no head differ by more than a link's. Two texts have at most as many shingles in common
+as the smaller of their shares of a head, and the smaller of what else they hold that a third text may hold too; pairs that
+need more are settled by that count, which grows with the texts, not with the pairs. Of the others, each in the first bucket
+that its two texts share, the pairs whose signatures agree nearly often enough are compared one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,8 @@ BROADCAST_BYTES = 8 << 20
 BLOCK_U, BLOCK_V = 4_096, 256
 #: Bytes of a long: so many components, a byte of each, stand for a band when signatures are compared.
 _PACKED = 8
+#: What ``_counts`` tells of a text.
+_COUNTED = ("shingles", "repeats", "shared")
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -198,18 +202,23 @@ def agreeing(a: str, b: str, size: int) -> Column:
     return size - F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda n, x: n + x)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The exact probability Jaccard of two multisets, each as ordered distinct shingles and their counts."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, float]:
+    """How many distinct shingles two multisets, each as ordered distinct shingles and their counts, share, and their exact probability Jaccard."""
     common_, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(common_):
-        return 0.0
+        return 0, 0.0
     x, y = a[1][i].astype(np.float64), b[1][j].astype(np.float64)
     only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
     ratio, back, _ = np.unique(x / y, return_inverse=True, return_counts=True)
     by_x, by_y = np.bincount(back, weights=x), np.bincount(back, weights=y)
     upper = by_x[::-1].cumsum()[::-1] + only_x  # from shingles whose ratio is at least this one
     lower = np.concatenate([[0.0], by_y.cumsum()[:-1]]) + only_y
-    return float((x / (upper[back] + ratio[back] * lower[back])).sum())
+    return len(common_), float((x / (upper[back] + ratio[back] * lower[back])).sum())
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The exact probability Jaccard of two multisets."""
+    return overlap(a, b)[1]
 
 
 def _node() -> Column:
@@ -235,8 +244,46 @@ def _buckets(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node", "sig"), common.written(placed.join(full, "key").select("key", "band", "node", "n"))
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the distinct nodes ``wanted``."""
+    small = common.fits(wanted, BROADCAST_BYTES, 64)
+    return _texts(docs).join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of each of the distinct nodes ``wanted``: its distinct ``shingles``, its ``repeats`` beyond them, and how many of them are ``shared`` with another of these nodes."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _column(batch, "text")
+            owner, shingle, count = shingles(data, offsets)
+            ends = np.searchsorted(owner, np.arange(len(offsets)))
+            total = np.bincount(owner, weights=count, minlength=len(batch)).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingle.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array(np.diff(ends)), pa.array(total - np.diff(ends))], names=["node", "held", "shingles", "repeats"])
+
+    rows = common.written(_texts_of(docs, wanted).mapInArrow(distinct, "node binary, held array<long>, shingles long, repeats long"))
+    # those of one text are counted and taken off, as a join would deal a shingle's texts to one task
+    own = rows.select("node", F.explode("held").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node")).where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return common.written(rows.drop("held").join(own, "node", "left").select("node", "shingles", "repeats", (F.col("shingles") - F.coalesce("own", F.lit(0))).alias("shared")), rows)
+
+
+def _unlike(u: Callable[[str], Column], v: Callable[[str], Column], near: float) -> Column:
+    """Whether what is known of two texts of a bucket rules out that their distance is ``near``: exact, as far as it is known.
+
+    ``dist`` and ``common`` are by head. With c shingles in common and r repeats, a probability Jaccard is at most
+    (c + r) / (all shingles - c + r): each shingle's part of it is at most its larger count by the sum of the larger counts.
+    """
+    far = F.exists(F.zip_with(u("dist"), v("dist"), lambda x, y: F.abs(x - y) > near), lambda far: F.coalesce(far, F.lit(False)))
+    # a null, of a text that wasn't compared with the head, leaves the other text's shared shingles
+    by_head = F.zip_with(u("common"), v("common"), lambda x, y: F.least(x, y) + F.least(u("shared") - x, v("shared") - y))
+    most, repeats = F.least(F.array_min(by_head), u("shared"), v("shared")), u("repeats") + v("repeats")
+    few = most + repeats < (1.0 - near) * (u("shingles") + v("shingles") - most + repeats)
+    return far | F.coalesce(few, F.lit(False))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with ``distance``, by their whole texts.
+    """``pairs`` (u, v) with ``distance`` and the number of shingles in ``common``, by their whole texts.
 
     Pairs are dealt by a block of some ``BLOCK_V`` of the v and one of some ``BLOCK_U`` of the u, so that a text moves once to
     each block that it has a pair in, and neither a text with many pairs nor many pairs among few texts meet in one task.
@@ -244,8 +291,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = common.written(pairs)
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     sizes = pairs.agg(F.approx_count_distinct("u").alias("u"), F.approx_count_distinct("v").alias("v")).first()
-    small = common.fits(wanted, BROADCAST_BYTES, 64)
-    texts = _texts(docs).join(F.broadcast(wanted) if small else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = _texts_of(docs, wanted)
     cells = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(sizes["u"] // BLOCK_U + 1)).alias("bu"), F.pmod(F.xxhash64("v"), F.lit(sizes["v"] // BLOCK_V + 1)).alias("bv"))
     # the v of a cell come first
     told = cells.groupBy("bu", "bv", F.col("v").alias("node")).agg(F.array().cast("array<binary>").alias("others"), F.lit(0).alias("asks"))
@@ -255,7 +301,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, known = None, {}
         for batch in batches:
-            u, v, out = [], [], []
+            u, v, shared, out = [], [], [], []
             data, offsets = _column(batch, "text")
             for k, (bu, bv, node, others, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bu", "bv", "node", "others", "asks")))):
                 if cell != (bu, bv):
@@ -266,10 +312,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 for other in others:
                     u.append(node)
                     v.append(other)
-                    out.append(1.0 - similarity(own, known[other]))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(out, pa.float64())], names=["u", "v", "distance"])
+                    n, like = overlap(own, known[other])
+                    shared.append(n)
+                    out.append(1.0 - like)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(out, pa.float64()), pa.array(shared, pa.int64())], names=["u", "v", "distance", "common"])
 
-    return common.written(rows.mapInArrow(compare, "u binary, v binary, distance double"), pairs)
+    return common.written(rows.mapInArrow(compare, "u binary, v binary, distance double, common long"), pairs)
 
 
 def _among(comps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -280,32 +328,38 @@ def _among(comps: DataFrame, rows: DataFrame) -> DataFrame:
 def _settle(docs: DataFrame, members: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     """Components by links to heads; and the members of buckets that still have several.
 
-    The latter are (key, band, node, comp, heads, dist, main): the bucket's heads so far, the distances to them (null
-    to those of the same component), and whether the component is that of the first. A head's pairs are all compared.
+    The latter are (key, band, node, comp, heads, dist, common, main), with the columns of ``_counts``: the bucket's heads so
+    far, the distances to them and the shingles in common (null to those of the same component or ruled out), and whether the
+    component is that of the first. All pairs of a bucket's first head are compared, and of later ones those not ruled out.
     """
     near = 1.0 - params.threshold + 1e-12
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<binary>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.lit(True).alias("open"))
+    live = members.drop("n").join(degree, "node").select("key", "band", "node", "degree", F.col("node").alias("comp"), F.array().cast("array<binary>").alias("heads"), F.array().cast("array<double>").alias("dist"), F.array().cast("array<long>").alias("common"), F.lit(True).alias("open"), *[F.lit(None).cast("long").alias(c) for c in _COUNTED])
     comps, left, start = None, live.count(), live
     buckets = live.select("key").distinct().count()
     for _ in range(params.rounds):
-        head = live.where("open").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
+        known = ["comp", "dist", "common", *_COUNTED]
+        head = live.where("open").groupBy("key").agg(F.max(F.struct("degree", "node", *known)).alias("h")).select("key", F.col("h.node").alias("head"), *[F.col(f"h.{c}").alias(f"head_{c}") for c in known])
         before, live = live, common.written(live.join(head, "key", "left"))
-        asked = live.where("head is not null and comp <> head_comp").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+        asked = live.where("head is not null and comp <> head_comp").where(~_unlike(F.col, lambda c: F.col(f"head_{c}"), near)).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
         tested = _verified(docs, asked)
         links = tested.where(F.col("distance") <= near).select("u", "v")
         if comps is None:
             comps = components(links)
         elif links.take(1):
             comps = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(links))
-        told = live.join(tested.select(F.col("u").alias("node"), F.col("v").alias("head"), "distance"), ["node", "head"], "left")
-        told = told.select("key", "band", "node", "degree", F.when(F.col("head").isNull(), F.col("heads")).otherwise(F.concat("heads", F.array("head"))).alias("heads"), F.when(F.col("head").isNull(), F.col("dist")).otherwise(F.concat("dist", F.array("distance"))).alias("dist"))
+        told = live.join(tested.select(F.col("u").alias("node"), F.col("v").alias("head"), "distance", F.col("common").alias("shares")), ["node", "head"], "left")
+        longer = lambda a, x: F.when(F.col("head").isNull(), F.col(a)).otherwise(F.concat(a, F.array(x))).alias(a)
+        told = told.select("key", "band", "node", "degree", longer("heads", "head"), longer("dist", "distance"), longer("common", "shares"), *_COUNTED)
         told = common.written(_among(comps, told), live, tested, *([before] if before is not start else []))
         # of each bucket with several components: the components of its heads, the first head's first
         of_heads = told.where(F.array_contains("heads", F.col("node"))).groupBy("key").agg(F.collect_set("comp").alias("seen"), F.max(F.when(F.col("node") == F.get("heads", F.lit(0)), F.col("comp"))).alias("first"))
         several = told.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
         live = told.join(several, "key", "left_semi").join(of_heads, "key")
-        live = common.written(live.select("key", "band", "node", "degree", "comp", "heads", "dist", (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")), told)
+        live = common.written(live.select("key", "band", "node", "degree", "comp", "heads", "dist", "common", *_COUNTED, (F.col("comp") == F.col("first")).alias("main"), (~F.array_contains("seen", F.col("comp"))).alias("open")), told)
+        if before is start:
+            # later rounds are on some of these texts
+            live = common.written(live.drop(*_COUNTED).join(_counts(docs, live.select("node").distinct()), "node"), live)
         now = live.where("open").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("key").alias("buckets")).first()
         # links, not only the heads' own places, must have settled a tenth
         if not now["rows"] or left - buckets - now["rows"] < 0.1 * left:
@@ -322,11 +376,11 @@ def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
         comps, live = _settle(docs, members, params)
         # a head has met all others
         live = live.where(~F.array_contains("heads", F.col("node"))).join(nodes, "node")
-        side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "comp", "dist", "sig")]
+        side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "comp", "dist", "common", *_COUNTED, "sig")]
         apart, others = live.where(~F.col("main")).select("key", "band", *side("u")), live.select(F.col("key").alias("v_key"), *side("v"), "main")
         # a pair whose components differ has a side that isn't in the bucket's main component
         once = (F.col("u_comp") != F.col("v_comp")) & (F.col("main") | (F.col("u_node") < F.col("v_node")))
-        excluded = F.exists(F.zip_with("u_dist", "v_dist", lambda x, y: F.abs(x - y) > near), lambda far: F.coalesce(far, F.lit(False)))
+        excluded = _unlike(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"), near)
         before = lambda c: F.slice(c, F.lit(1), F.col("band"))
         earlier = F.exists(F.zip_with(before("u_sig"), before("v_sig"), lambda x, y: x == y), lambda same: same)
         rest = apart.join(others, (F.col("key") == F.col("v_key")) & once & ~excluded & (agreeing("u_sig", "v_sig", params.size) >= params.least_equal) & ~earlier)

@@ -133,3 +133,52 @@ def test_signatures_do_not_depend_on_the_other_texts_of_a_block():
     params = minhash.Params()
     alone, among = minhash.band_keys(*flat([text]), params)[0], minhash.band_keys(*flat([*others, text]), params)[0]
     assert (alone[0] == among[-1]).all()
+
+
+def test_pairs_of_a_group_of_copies_with_many_edits_are_settled_by_counts(spark, monkeypatch):
+    """Copies of one base that are nearly similar enough to each other: how many are compared must not grow with all pairs."""
+    import random
+
+    r, base, rows = random.Random(9), words(160, 71).split(), []
+    for k in range(240):
+        copy = base[:]
+        for at in r.sample(range(len(copy)), 0 if k == 0 else r.choice((1, 2, 4, 5, 6))):
+            copy[at] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    held = [set(shingles(t)) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j]) and comp[i] != comp[j]:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    compared, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda docs, pairs: compared.append(pairs.count()) or verified(docs, pairs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in minhash.classes(df).collect()}
+    assert got == dict(enumerate(comp)) and 20 < len(set(comp)) < 200
+    assert sum(compared) < 5 * len(rows), compared
+
+
+def test_counts_rule_out_no_link(spark):
+    """Copies with edits, repeats and cuts; every pair with every third text as their head."""
+    base = words(60, 81)
+    texts = [base, base + " " + base, edited(base, 9, 1), edited(base, 25, 2), base[: len(base) // 2], base + " " + words(9, 82), edited(base, 25, 3) + " la" * 12, base + " la" * 9, edited(base + " " + base, 40, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = {r.doc_id: bytes(r.node) for r in docs.select("doc_id", minhash._node().alias("node")).collect()}
+    counts = {bytes(r.node): r for r in minhash._counts(docs, docs.select(minhash._node().alias("node"))).collect()}
+    held = [shingles(t) for t in texts]
+    for i, c in enumerate(held):
+        told = counts[nodes[i]]
+        assert (told.shingles, told.repeats, told.shared) == (len(c), sum(c.values()) - len(c), sum(any(s in o for j, o in enumerate(held) if j != i) for s in c))
+    rows = []
+    for head in range(len(texts)):
+        of = lambda i: [[1 - jp(held[i], held[head])], [len(set(held[i]) & set(held[head]))], *counts[nodes[i]][1:]]
+        rows += [(*of(i), *of(j), jp(held[i], held[j])) for i in range(len(texts)) for j in range(i) if head not in (i, j)]
+    names = ["dist", "common", "shingles", "repeats", "shared"]
+    kinds = ["array<double>", "array<long>", "long", "long", "long"]
+    df = spark.createDataFrame(rows, ", ".join(f"{s}_{n} {k}" for s in "uv" for n, k in zip(names, kinds)) + ", like double")
+    from pyspark.sql import functions as F
+
+    out = df.select("like", minhash._unlike(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"), 0.2 + 1e-12).alias("out")).collect()
+    assert not [r for r in out if r.out and r.like >= 0.8] and any(r.like >= 0.8 for r in out) and any(r.out for r in out)
