@@ -4,8 +4,9 @@ A rolling hash over the hashes of neighbouring lines decides where a chunk ends,
 only the boundaries next to it and the same passage falls into the same chunks in every document. A
 line of at least ``LONG_WORDS`` words is a chunk of its own. Chunks of several lines, and long lines,
 are grouped by their bytes over the whole corpus; all but the first of each group are removed. So does
-``dedup_lines``; ``clean``, for the pipeline, takes out every run of whole lines with ``LONG_WORDS`` words
-that stands earlier, and nothing shorter.
+``dedup_lines``; ``clean``, for the pipeline, takes out runs of the same chunks with ``LONG_WORDS`` words, then,
+by an exact check of the lines that no such run holds, what they leave of every run of whole lines with so many
+words that stands earlier, and nothing shorter.
 """
 
 from __future__ import annotations
@@ -76,21 +77,38 @@ def _joined(docs: DataFrame) -> DataFrame:
     ))))
 
 
-def _windows(df: DataFrame) -> DataFrame:
-    """Of each text that isn't null: doc_id, digest, and of each window its key ``k`` and first and last line (from 0).
-
-    A window is the shortest run that has ``LONG_WORDS`` words and begins, or ends, at a line with words; lines
-    without words don't count. If two texts share a run of so many words, they share all windows inside it, and
-    these cover it: those that begin at its lines from its first line on, those that end at them to its last.
-    """
+def _lines(df: DataFrame) -> DataFrame:
+    """The lines with words of each text that isn't null, as units: doc_id, digest, and of each its number ``first`` and ``last``, its words ``w``, its hash ``h``."""
     rows = df.where(F.col("text").isNotNull()).select("doc_id", common.digest(F.col("text")).alias("digest"), F.split("text", "\n").alias("x"))
     rows = rows.withColumn("w", F.transform("x", lambda x: F.size(common.words(x))))
     rows = rows.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) > 0))
-    rows = rows.select("doc_id", "digest", "at", F.transform("at", lambda i: F.get("w", i)).alias("w"), F.transform("at", lambda i: F.md5(F.get("x", i).cast("binary"))).alias("h"))
+    return rows.select("doc_id", "digest", F.col("at").alias("first"), F.col("at").alias("last"), F.transform("at", lambda i: F.get("w", i)).alias("w"), F.transform("at", lambda i: F.md5(F.get("x", i).cast("binary"))).alias("h"))
+
+
+def _chunks(df: DataFrame) -> DataFrame:
+    """The chunks with words of each text that isn't null, as units; blank lines at their ends, and within them, don't count."""
+    rows = with_chunks(df.where(F.col("text").isNotNull()).select("doc_id", common.digest(F.col("text")).alias("digest"), "text"))
+    rows = rows.select("doc_id", "digest", "lines", "chunks", F.transform("lines", lambda x: F.size(common.words(x))).alias("w"))
+    spoken = lambda c: F.filter(F.sequence(c["start"], c["start"] + c["n"] - 1), lambda i: F.get("w", i) > 0)
+    rows = rows.select("doc_id", "digest", "lines", "w", F.filter(F.transform("chunks", spoken), lambda at: F.size(at) > 0).alias("units"))
+    return rows.select(
+        "doc_id", "digest", F.transform("units", lambda at: F.get(at, F.lit(0))).alias("first"), F.transform("units", lambda at: F.element_at(at, -1)).alias("last"),
+        F.transform("units", lambda at: F.aggregate(at, F.lit(0), lambda n, i: n + F.get("w", i))).alias("w"),
+        F.transform("units", lambda at: F.md5(F.array_join(F.transform(at, lambda i: F.md5(F.get("lines", i).cast("binary"))), "").cast("binary"))).alias("h"),
+    )
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """doc_id, digest, and of each window of the units its key ``k`` and first and last line (from 0).
+
+    A window is the shortest run that has ``LONG_WORDS`` words and begins, or ends, at a unit. If two texts share a
+    run of so many words, they share all windows inside it, and these cover it: those that begin at its units from
+    its first unit on, those that end at them to its last.
+    """
     rows = rows.withColumn("back", F.reverse("w"))
     zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
     step = lambda a, w: F.when(a["words"] >= LONG_WORDS, a).otherwise(F.struct((a["words"] + w).alias("words"), (a["n"] + 1).alias("n")))
-    # from each place on, how many lines have so many words; null where the text ends before
+    # from each place on, how many units have so many words; null where the text ends before
     ahead = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.aggregate(F.slice(c, i + 1, LONG_WORDS), zero, step, lambda a: F.when(a["words"] >= LONG_WORDS, a["n"])))
     some = F.aggregate("w", F.lit(0), lambda a, w: a + w) >= LONG_WORDS
     # place and length in one number, as arrays of structs are made distinct by comparing all pairs
@@ -100,23 +118,39 @@ def _windows(df: DataFrame) -> DataFrame:
     place = lambda c: F.shiftright(c, 6)
     window = lambda c: F.struct(
         F.unhex(F.md5(F.array_join(F.slice("h", place(c) + 1, c % 64), "").cast("binary"))).alias("k"),
-        F.get("at", place(c)).alias("start"), F.get("at", place(c) + c % 64 - 1).alias("end"),
+        F.get("first", place(c)).alias("start"), F.get("last", place(c) + c % 64 - 1).alias("end"),
     )
-    rows = rows.select("doc_id", "digest", F.when(F.size("h") == F.size("at"), F.transform("codes", window)).alias("windows"))
+    whole = (F.size("h") == F.size("first")) & (F.size("h") == F.size("last"))
+    rows = rows.select("doc_id", "digest", F.when(whole, F.transform("codes", window)).alias("windows"))
     return rows.select("doc_id", "digest", F.explode_outer("windows").alias("c")).select("doc_id", "digest", "c.k", "c.start", "c.end").where("k is not null")
 
 
+def _again(places: DataFrame) -> DataFrame:
+    """(doc_id, digest, spans): the windows that an earlier text (by doc_id, then digest) holds too, or the same text wholly before."""
+    groups = places.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "digest", "start", "end")).alias("first")).where("copies > 1").drop("copies")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    held = places.join(groups, "k").where(~same | (F.col("start") > F.col("first.end")))
+    return held.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, spans): first and last lines of the runs of chunks with ``LONG_WORDS`` words that stand earlier."""
+    return _again(_windows(_chunks(docs)))
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, digest, ``gone``: the numbers of the lines to remove.
 
     A line goes if it is in a run of whole lines with ``LONG_WORDS`` words and more that an earlier text (by doc_id,
     then digest) holds too, or the same text wholly before it. Each such line stays in the first of these places.
+    Chunks find them first; windows of lines then settle what crosses the ends of those runs or fills no chunk. Those
+    inside a run that went need no look: they stand in its first place too, so no other text has them from here.
     """
-    places = _windows(docs)
-    groups = places.groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "digest", "start", "end")).alias("first")).where("copies > 1").drop("copies")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    held = places.join(groups, "k").where(~same | (F.col("start") > F.col("first.end")))
-    spans = held.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    by_chunks = common.written(repeated_runs(docs))
+    places, runs = _windows(_lines(docs)), by_chunks.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("spans").alias("runs"))
+    inside = F.exists("runs", lambda r: (r["start"] <= F.col("start")) & (F.col("end") <= r["end"]))
+    rest = places.join(runs, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").where(~F.coalesce(inside, F.lit(False)))
+    spans = by_chunks.unionByName(_again(rest.select(places.columns))).groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return spans.select("doc_id", "digest", F.array_distinct(F.flatten(F.transform("spans", lambda e: F.sequence(e["start"], e["end"])))).alias("gone"))
 
 

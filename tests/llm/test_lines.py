@@ -103,3 +103,20 @@ def test_clean_keeps_short_lines_that_many_documents_share(spark):
     rows = [(k, f"{words(9, k)}\n" + f"\n{words(9, 90 + k)}\n".join(shared)) for k in range(6)] + [(10 + k, "Hello\nMr Brown") for k in range(3)]
     got = lines.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in got) == rows
+
+
+def test_the_pipelines_stage_cuts_by_the_operators_chunks(spark, monkeypatch):
+    """Runs of chunks are looked for first and hold most of a passage; the check of lines adds their ends."""
+    import corpus_pipeline
+
+    passage = [words(12, 50 + k) for k in range(40)]
+    rows = [(k, "\n".join([words(8, 1000 * k + j) for j in range(k + 1)] + passage + [words(9, 70 + k)])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut, chunked = [], lines.with_chunks
+    monkeypatch.setattr(lines, "with_chunks", lambda rows: cut.append(1) or chunked(rows))
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert cut and got == {k: t if k == 0 else t.replace("\n".join(passage) + "\n", "") for k, t in rows}
+    by_chunks = {r.doc_id: {i for s in r.spans for i in range(s.start, s.end + 1)} for r in lines.repeated_runs(df).collect()}
+    assert set(by_chunks) == {1, 2, 3, 4, 5}
+    for k, gone in by_chunks.items():
+        assert len(gone) > 25 and gone <= set(range(k + 1, k + 41))
