@@ -29,7 +29,10 @@ from . import common
 from .graph import components
 
 SHINGLE_WORDS = 5
-_BLOCK_BYTES = 1 << 20
+#: Texts that are shingled together: so many bytes and so many texts at most, whatever a batch holds.
+_BLOCK_BYTES, _BLOCK_TEXTS = 1 << 20, 2_048
+#: Bytes that are hashed together, as each takes some longs while it is.
+_PIECE_BYTES = 1 << 16
 #: Keys of the texts to compare are broadcast up to this size; beyond it the texts are shuffled to them.
 BROADCAST_BYTES = 8 << 20
 #: Texts on either side of a block of pairs, on average; those of the v side are held in memory, those of the u side pass by.
@@ -77,17 +80,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 _BASE, _PLACES = _U(0xD6E8FEB86659FD93), _mix(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64) * _U(0xD1B54A32D192ED03)) | _U(1)
-_BASE_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        known[0] = 1
-        _powers[int(base)] = np.cumprod(known)
-    return _powers[int(base)][:n]
+def _powers(base: int) -> np.ndarray:
+    known = np.full(_PIECE_BYTES, base, dtype=np.uint64)
+    known[0] = 1
+    return np.cumprod(known)
+
+
+_UP, _DOWN = _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
+
+
+def _words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, piece by piece of the bytes: what is held for a byte doesn't grow with the data, nor with a word."""
+    out = np.zeros(len(begins), dtype=np.uint64)
+    for at in range(0, len(data), _PIECE_BYTES):
+        piece = data[at : at + _PIECE_BYTES]
+        i, j = np.searchsorted(ends, at, side="right"), np.searchsorted(begins, at + len(piece))
+        if i == j:
+            continue
+        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[piece] * _UP[: len(piece)], out=sums[1:])
+        first, last = np.maximum(begins[i:j] - at, 0), np.minimum(ends[i:j] - at, len(piece))
+        part = (sums[last] - sums[first]) * _DOWN[first]
+        # none but the first may have begun before the piece
+        part[:1] *= _U(pow(int(_BASE), max(at - int(begins[i]), 0), 1 << 64))
+        out[i:j] += part
+    return _mix(out)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +124,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     edge[offsets] = True
     begins = np.flatnonzero(solid & (edge[:n] | ~np.concatenate([[False], solid[:-1]])))
     ends = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * _power(_BASE, n), out=sums[1:])
-    words = _mix((sums[ends] - sums[begins]) * _power(_BASE_INVERSE, n)[begins])
+    words = _words(data, begins, ends)
     text = np.searchsorted(offsets, begins, side="right") - 1
     per_text = np.bincount(text, minlength=len(offsets) - 1)
     m = len(words) - SHINGLE_WORDS + 1
@@ -164,10 +181,10 @@ def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of some megabytes; a longer text is a run of its own."""
+    """Runs of ``_BLOCK_TEXTS`` texts and ``_BLOCK_BYTES`` at most; a longer text is a run of its own."""
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BLOCK_BYTES, side="right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + _BLOCK_BYTES, side="right")) - 1), i + _BLOCK_TEXTS)
         yield i, j
         i = j
 
@@ -190,6 +207,17 @@ def band_keys(data: np.ndarray, offsets: np.ndarray, params: Params) -> tuple[np
     return np.concatenate(out), np.concatenate(packed)
 
 
+def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts, in order; where each text's begin; and of each text how many shingles repeat one before."""
+    held, lengths, repeats = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in _blocks(offsets):
+        owner, shingle, count = shingles(data, offsets[i : j + 1])
+        held.append(shingle)
+        lengths.append(np.bincount(owner, minlength=j - i))
+        repeats.append(np.bincount(owner, weights=count - 1, minlength=j - i).astype(np.int64))
+    return np.concatenate(held), np.cumsum(np.concatenate(lengths)), np.concatenate(repeats)
+
+
 def agreeing(a: str, b: str, size: int) -> Column:
     """In how many bytes two packed signatures of ``size`` components are equal: each byte's bits are folded into its lowest."""
 
@@ -253,16 +281,13 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of each of the distinct nodes ``wanted``: its distinct ``shingles``, its ``repeats`` beyond them, and how many of them are ``shared`` with another of these nodes."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _column(batch, "text")
-            owner, shingle, count = shingles(data, offsets)
-            ends = np.searchsorted(owner, np.arange(len(offsets)))
-            total = np.bincount(owner, weights=count, minlength=len(batch)).astype(np.int64)
+            shingle, ends, repeats = distinct(*_column(batch, "text"))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingle.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array(np.diff(ends)), pa.array(total - np.diff(ends))], names=["node", "held", "shingles", "repeats"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array(np.diff(ends)), pa.array(repeats)], names=["node", "held", "shingles", "repeats"])
 
-    rows = common.written(_texts_of(docs, wanted).mapInArrow(distinct, "node binary, held array<long>, shingles long, repeats long"))
+    rows = common.written(_texts_of(docs, wanted).mapInArrow(counted, "node binary, held array<long>, shingles long, repeats long"))
     # those of one text are counted and taken off, as a join would deal a shingle's texts to one task
     own = rows.select("node", F.explode("held").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node")).where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     return common.written(rows.drop("held").join(own, "node", "left").select("node", "shingles", "repeats", (F.col("shingles") - F.coalesce("own", F.lit(0))).alias("shared")), rows)

@@ -182,3 +182,39 @@ def test_counts_rule_out_no_link(spark):
 
     out = df.select("like", minhash._unlike(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"), 0.2 + 1e-12).alias("out")).collect()
     assert not [r for r in out if r.out and r.like >= 0.8] and any(r.like >= 0.8 for r in out) and any(r.out for r in out)
+
+
+def test_a_worker_holds_little_beyond_a_batch_when_it_counts_shingles(spark, monkeypatch):
+    """The function that ``_counts`` gives to Python workers, on a batch of some eight megabytes: texts, and one text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    docs, given = spark.createDataFrame([(words(9, 1),)], "text string"), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: given.append(f) or plain(self, f, *a, **b))
+    minhash._counts(docs, docs.select(minhash._node().alias("node")))
+    text = words(1_000, 2)
+    for texts, most in (([text] * 1_000, 60e6), ([" ".join([text] * 1_000)], 200e6)):
+        batch = pa.RecordBatch.from_arrays([pa.array([b"n"] * len(texts)), pa.array(texts)], names=["node", "text"])
+        tracemalloc.start()
+        rows = list(given[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows[0].num_rows == len(texts) and rows[0]["shingles"][0].as_py() == (1_000 if len(texts) == 1 else 996)
+        assert peak < most, peak
+
+
+def test_pieces_and_blocks_change_no_shingle(monkeypatch):
+    texts = [words(60, 3), "é" * 50 + " a b c d " + "z" * 200, "", "one two", "x" * 100_000 + " " + words(9, 4), " ", "x" * 99_999 + " " + words(9, 4)] + ["la " * k for k in range(20)]
+    whole = minhash.shingles(*flat(texts))
+    apart = [minhash.shingles(*flat([t])) for t in texts]
+    for k, own in enumerate(apart):
+        assert all((x[whole[0] == k] == y).all() for x, y in zip(whole[1:], own[1:]))
+    assert len(set(apart[4][1].tolist()) - set(apart[6][1].tolist())) == 1  # the shingle with the long word
+    for name, small in (("_PIECE_BYTES", 7), ("_BLOCK_TEXTS", 2), ("_BLOCK_BYTES", 300)):
+        monkeypatch.setattr(minhash, name, small)
+        assert all((x == y).all() for x, y in zip(minhash.shingles(*flat(texts)), whole))
+        held, ends, repeats = minhash.distinct(*flat(texts))
+        assert (held == whole[1]).all() and (np.diff(ends) == np.bincount(whole[0], minlength=len(texts))).all()
+        assert [int(r) for r in repeats] == [int((own[2] - 1).sum()) for own in apart]
